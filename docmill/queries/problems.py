@@ -1 +1,26 @@
 """Queries of the general data-processing operators."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from docmill.operators import nested
+from docmill.queries import REGISTRY
+from docmill.session import table
+
+query = REGISTRY.query
+
+
+@query("p1_found")
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nested.nested_counts(table(spark, sf_dir, "trace"), table(spark, sf_dir, "llm_impact_report")).distinct()
+
+
+@query("p1_steps")
+def p1_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nested.trace_steps(table(spark, sf_dir, "trace"))
+
+
+@query("p1_tool_calls")
+def p1_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nested.tool_calls(table(spark, sf_dir, "trace"))

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from docmill.llm import bpe, packing
+from pyspark.sql import functions as F
+
+from docmill.llm import bpe, lookalike, packing
 from docmill.registry import Registry
 from docmill.session import table
 
@@ -20,3 +22,21 @@ def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("p8_containers")
 def p8_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_texts(table(spark, sf_dir, "documents"))
+
+
+def two_text_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(tbl, id, text) of the layout blocks and of the chunks."""
+    blocks = table(spark, sf_dir, "complex_financial_report_content_list")
+    chunks = table(spark, sf_dir, "retrieval_chunks")
+    blocks = blocks.select(F.lit("complex_financial_report_content_list").alias("tbl"), F.col("block_id").alias("id"), "text")
+    return blocks.unionByName(chunks.select(F.lit("retrieval_chunks").alias("tbl"), F.col("row_id").alias("id"), F.col("chunk_text").alias("text")))
+
+
+@query("p2_found")
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lookalike.alike_pairs(two_text_tables(spark, sf_dir), ["tbl", "id"], "text")
+
+
+@query("p2_canonical")
+def p2_canonical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lookalike.canonical_texts(two_text_tables(spark, sf_dir), ["tbl", "id"], "text")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from docmill.llm import bpe, lookalike, packing
+from docmill.llm import bpe, lookalike, mojibake, packing
 from docmill.registry import Registry
 from docmill.session import table
 
@@ -40,3 +40,20 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("p2_canonical")
 def p2_canonical(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lookalike.canonical_texts(two_text_tables(spark, sf_dir), ["tbl", "id"], "text")
+
+
+def garbled_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    blocks = mojibake.garbled_texts(table(spark, sf_dir, "complex_financial_report_content_list"), ["block_id"], "text")
+    chunks = mojibake.garbled_texts(table(spark, sf_dir, "retrieval_chunks"), ["row_id"], "chunk_text")
+    blocks = blocks.withColumn("tbl", F.lit("complex_financial_report_content_list")).withColumnRenamed("block_id", "id")
+    return blocks.unionByName(chunks.withColumn("tbl", F.lit("retrieval_chunks")).withColumnRenamed("row_id", "id"))
+
+
+@query("p3_found")
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return garbled_rows(spark, sf_dir).select("tbl", "id")
+
+
+@query("p3_repaired")
+def p3_repaired(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return garbled_rows(spark, sf_dir).select("tbl", "id", "repaired", F.array_join("undone", " > ").alias("undone"), "lost")

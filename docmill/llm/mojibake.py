@@ -28,9 +28,6 @@ LOST = ("�", "锟斤拷")
 #: for under Cyrillic encodings, where ordinary words would do.
 NARROW_SEQUENCES = ("\xc2|\x80-\xbf", "\xc3|\x80-\xbf", "\xd0|\x81\x90-\xbf", "\xd1|\x80-\x8f\x91", "\xe2|\x80-\x8b|\x80-\xbf")
 WIDE_SEQUENCES = ("\xc4-\xc5|\x80-\xbf", "\xcb|\x80-\xbf", "\xce-\xcf|\x80-\xbf", "\xe3|\x80-\x83|\x80-\xbf", "\xe4-\xe9|\x80-\xbf|\x80-\xbf", "\xef|\xbb-\xbd|\x80-\xbf", "\xf0|\x9f|\x80-\xbf|\x80-\xbf")
-#: Signs and punctuation that ordinary texts hold outside ASCII.
-ORDINARY = set("–—‘’‚“”„…•€°§«»·¿¡ºª№´×±²³¼½¾′″　、。〈〉《》「」『』【】〔〕・ー～→←↑↓≤≥≠√∞∂∫∑−™©®£¥℃‰")
-_UTF8_BYTES = re.compile(rb"(?:[\xc2-\xdf][\x80-\xbf]|[\xe1-\xec\xee\xef][\x80-\xbf]{2}|\xe0[\xa0-\xbf][\x80-\xbf]|\xed[\x80-\x9f][\x80-\xbf])+")
 
 
 def _ranged(spec: str) -> list[int]:
@@ -38,6 +35,13 @@ def _ranged(spec: str) -> list[int]:
     return [b for first, last in re.findall(r"(?s)(.)(?:-(.))?", spec) for b in range(ord(first), ord(last or first) + 1)]
 
 
+LEADS = {b for spec in NARROW_SEQUENCES for b in _ranged(spec.split("|")[0])}
+WIDE_LEADS = {b for spec in WIDE_SEQUENCES for b in _ranged(spec.split("|")[0])}
+#: Signs and punctuation that ordinary texts hold outside ASCII.
+ORDINARY = set("–—‘’‚“”„…•€°§«»·¿¡ºª№´×±²³¼½¾′″　、。〈〉《》「」『』【】〔〕・ー～→←↑↓≤≥≠√∞∂∫∑−™©®£¥℃‰")
+_UTF8_BYTES = re.compile(rb"(?:[\xc2-\xdf][\x80-\xbf]|[\xe1-\xec\xee\xef][\x80-\xbf]{2}|\xe0[\xa0-\xbf][\x80-\xbf]|\xed[\x80-\x9f][\x80-\xbf])+")
+
+
 @cache
 def byte_of(encoding: str) -> dict[str, int]:
     """Upper-half bytes by their character. A byte without one is read as the C1 control, as decoders in the wild do."""
@@ -74,10 +78,19 @@ WESTERN_RUN = "(?<![A-Za-z])[\xa1-\xff‚ƒ„…†‡ˆ‰Š‹ŒŽ‘’“
 
 
 @cache
-def suspicion() -> re.Pattern:
-    """What any text with something to repair or to report matches."""
+def suspicion() -> tuple[re.Pattern, re.Pattern]:
+    """(characters one of which every match of the second begins with, what any text with something to repair matches)."""
     parts = [garbled_pattern(e) for e in SINGLE_BYTE] + [double_byte_pattern(), WESTERN_RUN, *LOST]
-    return re.compile("|".join(parts))
+    first = {c for e in SINGLE_BYTE for c, byte in byte_of(e).items() if byte in LEADS or byte in WIDE_LEADS and e not in CYRILLIC}
+    first |= {bytes([a, b]).decode("gbk", "ignore") for a in range(0xE2, 0xF0) for b in range(0x80, 0xC0)} | {x[0] for x in LOST}
+    first |= set(re.findall(r"[^()?<!\[\]{}A-Za-z0-9,-]", WESTERN_RUN)) | {chr(c) for c in range(0x80, 0x100)}
+    return re.compile("[" + "".join(map(re.escape, sorted(x for x in first if len(x) == 1))) + "]"), re.compile("|".join(parts))
+
+
+def suspicious(text: str) -> bool:
+    quick, full = suspicion()
+    found = quick.search(text)
+    return bool(found and full.search(text, found.start()))
 
 
 @cache
@@ -232,7 +245,6 @@ def garbled_texts(df: DataFrame, keys: list[str], text_col: str) -> DataFrame:
     fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in src.schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        suspicious = suspicion().search
         for batch in batches:
             kept, repaired, undone, lost = [], [], [], []
             for i, body in enumerate(batch.column("text").to_pylist()):

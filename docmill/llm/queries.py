@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from docmill.llm import bpe, lookalike, mojibake, packing
+from docmill.llm import bpe, lookalike, mojibake, packing, prose
 from docmill.registry import Registry
 from docmill.session import table
 
@@ -57,3 +57,15 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("p3_repaired")
 def p3_repaired(spark: SparkSession, sf_dir: str) -> DataFrame:
     return garbled_rows(spark, sf_dir).select("tbl", "id", "repaired", F.array_join("undone", " > ").alias("undone"), "lost")
+
+
+@query("p6_found")
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    chunks = table(spark, sf_dir, "retrieval_chunks").withColumn("blank", F.coalesce(~F.col("chunk_text").rlike(r"\S"), F.lit(True)))
+    stats = prose.quality_stats(chunks, "row_id", "chunk_text", "content_type", "blank")
+    return stats.where("tail and not blank and content_type = 'text'").select("row_id")
+
+
+@query("p6_stats")
+def p6_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prose.quality_stats(table(spark, sf_dir, "retrieval_chunks"), "row_id", "chunk_text", "content_type")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from docmill.llm import bpe, lookalike, mojibake, packing, prose
+from docmill.llm import bpe, lookalike, mojibake, packing, prose, splitting
 from docmill.registry import Registry
 from docmill.session import table
 
@@ -69,3 +69,57 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("p6_stats")
 def p6_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prose.quality_stats(table(spark, sf_dir, "retrieval_chunks"), "row_id", "chunk_text", "content_type")
+
+
+NAMED_PAGES = r"""
+    named as (
+      select range_id, unnest(regexp_extract_all(page_range, '[0-9]+(?:\s*(?:[-–—~]|\.\.|to)\s*p?[0-9]+)?')) as part
+      from long_document_risk_report
+    ), spans as (
+      select range_id, cast(regexp_extract_all(part, '[0-9]+')[1] as bigint) as a, cast(regexp_extract_all(part, '[0-9]+')[-1] as bigint) as b from named
+    ), covered as (
+      select distinct range_id, unnest(generate_series(least(a, b), greatest(a, b))) as page from spans
+    )"""
+
+
+@query(
+    "p5_found",
+    f"""
+    with {NAMED_PAGES}
+    select 'retrieval_chunks' as tbl, row_id as id from retrieval_chunks where length(chunk_text) > 3600
+    union all
+    select 'long_document_risk_report', range_id from covered group by range_id having count(*) > 20
+    """,
+)
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = splitting.split_texts(table(spark, sf_dir, "retrieval_chunks"), "row_id", "chunk_text").where("piece = 0")
+    ranges = splitting.split_ranges(table(spark, sf_dir, "long_document_risk_report"), "range_id", "page_range").where("piece = 0")
+    pieces = pieces.select(F.lit("retrieval_chunks").alias("tbl"), F.col("row_id").alias("id"))
+    return pieces.unionByName(ranges.select(F.lit("long_document_risk_report").alias("tbl"), F.col("range_id").alias("id")))
+
+
+@query("p5_pieces")
+def p5_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return splitting.split_texts(table(spark, sf_dir, "retrieval_chunks"), "row_id", "chunk_text", "pages")
+
+
+@query(
+    "p5_ranges",
+    f"""
+    with {NAMED_PAGES}, islands as (
+      select range_id, page, page - row_number() over (partition by range_id order by page) as island from covered
+    ), joined as (
+      select range_id, min(page) as first, max(page) as last, count(*) as n from islands group by range_id, island
+    ), long as (
+      select range_id, sum(n) as pages from joined group by range_id having sum(n) > 20
+    ), cut as (
+      select range_id, cast(pages as bigint) as pages, unnest(generate_series(first, greatest(first, last - 1), 19)) as first_page, last
+      from joined join long using (range_id)
+    )
+    select range_id, pages, cast(row_number() over (partition by range_id order by first_page) - 1 as integer) as piece,
+      first_page, least(first_page + 19, last) as last_page
+    from cut
+    """,
+)
+def p5_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return splitting.split_ranges(table(spark, sf_dir, "long_document_risk_report"), "range_id", "page_range")

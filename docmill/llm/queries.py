@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from docmill.llm import bpe, lookalike, mojibake, packing, prose, splitting
+from docmill.llm import bpe, lookalike, mojibake, nearduplicates, packing, prose, splitting
 from docmill.registry import Registry
 from docmill.session import table
 
@@ -123,3 +123,17 @@ def p5_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def p5_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return splitting.split_ranges(table(spark, sf_dir, "long_document_risk_report"), "range_id", "page_range")
+
+
+def near_duplicates(spark: SparkSession, sf_dir: str) -> nearduplicates.NearDuplicates:
+    return nearduplicates.NearDuplicates(table(spark, sf_dir, "retrieval_chunks"), "row_id", "section_title", "chunk_text")
+
+
+@query("p4_found")
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(spark, sf_dir).pairs().select("id_a", "id_b")
+
+
+@query("p4_groups")
+def p4_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(spark, sf_dir).groups()

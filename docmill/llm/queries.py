@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from docmill.llm import bpe, lookalike, mojibake, nearduplicates, packing, prose, splitting
+from docmill.llm import bpe, lookalike, mojibake, nearduplicates, packing, prose, splitting, stuffing
 from docmill.registry import Registry
 from docmill.session import table
 
@@ -137,3 +137,13 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("p4_groups")
 def p4_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(spark, sf_dir).groups()
+
+
+@query("p9_found")
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stuffing.page_spam(table(spark, sf_dir, "documents"), "doc_id").where("spam").select("doc_id")
+
+
+@query("p9_evidence")
+def p9_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stuffing.page_spam(table(spark, sf_dir, "documents"), "doc_id")

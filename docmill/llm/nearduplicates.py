@@ -117,9 +117,9 @@ def sketch_bits(signatures: np.ndarray) -> np.ndarray:
 WORDS_OF_SKETCH = REGISTERS // 64
 
 
-def fingerprints(df: DataFrame, key: str, title_col: str, text_col: str, shingle: int = SHINGLE, least_words: int = LEAST_WORDS) -> DataFrame:
+def fingerprints(df: DataFrame, key: str, title_col: str, text_col: str, shingle: int = SHINGLE, least_words: int = LEAST_WORDS, signed: bool = True) -> DataFrame:
     """(id, content, bands ARRAY<BIGINT>, sketch ARRAY<BIGINT>) of the rows with enough words; content names the set of
-    shingles in 128 bits."""
+    shingles in 128 bits. Unless signed, only (id, content)."""
     src = df.select(F.col(key).alias("id"), F.col(title_col).cast("string").alias("title"), F.col(text_col).cast("string").alias("body"))
     src = src.where(F.coalesce(F.length("title"), F.lit(0)) + F.coalesce(F.length("body"), F.lit(0)) >= 2 * least_words - 2)
 
@@ -127,18 +127,20 @@ def fingerprints(df: DataFrame, key: str, title_col: str, text_col: str, shingle
         texts = [words_of(a, b) for a, b in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())]
         kept = [i for i, words in enumerate(texts) if len(words) >= max(least_words, shingle)]
         owner, items = shingle_sets([texts[i] for i in kept], shingle)
-        signatures = prob_minhash(owner, items, len(kept))
         starts = np.searchsorted(owner, np.arange(len(kept)))
         content = [np.add.reduceat(mix(items * c), starts).astype(">u8") if len(kept) else np.empty(0, ">u8") for c in (_B, _C)]
         names = np.stack(content, axis=1).tobytes()
+        ids = batch.column(0).take(pa.array(kept, pa.int32()))
+        keys = pa.array([names[i * 16 : i * 16 + 16] for i in range(len(kept))], pa.binary())
+        if not signed:
+            return pa.RecordBatch.from_arrays([ids, keys], ["id", "content"])
+        signatures = prob_minhash(owner, items, len(kept))
         bands, sketch = band_keys(signatures).view(np.int64), sketch_bits(signatures).view(np.int64)
 
         def lists(values: np.ndarray) -> pa.ListArray:
             ends = np.arange(len(kept) + 1, dtype=np.int32) * values.shape[1]
             return pa.ListArray.from_arrays(pa.array(ends), pa.array(values.ravel()))
 
-        ids = batch.column(0).take(pa.array(kept, pa.int32()))
-        keys = pa.array([names[i * 16 : i * 16 + 16] for i in range(len(kept))], pa.binary())
         return pa.RecordBatch.from_arrays([ids, keys, lists(bands), lists(sketch)], ["id", "content", "bands", "sketch"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -147,7 +149,7 @@ def fingerprints(df: DataFrame, key: str, title_col: str, text_col: str, shingle
                 yield some(batch.slice(at, 2000))
 
     kind = src.schema["id"].dataType.simpleString()
-    return src.mapInArrow(run, f"id {kind}, content binary, bands array<bigint>, sketch array<bigint>")
+    return src.mapInArrow(run, f"id {kind}, content binary" + ", bands array<bigint>, sketch array<bigint>" * signed)
 
 
 def _agreement(a: Column, b: Column) -> Column:
@@ -198,10 +200,12 @@ class NearDuplicates:
     """members (rep, id): the representative of each row; links (a, b, similarity): pairs of representatives."""
 
     def __init__(self, df: DataFrame, key: str, title_col: str, text_col: str, shingle: int = SHINGLE, least_words: int = LEAST_WORDS, threshold: float = THRESHOLD) -> None:
-        prints = cut_lineage(fingerprints(df, key, title_col, text_col, shingle, least_words))
-        first = prints.groupBy("content").agg(F.min("id").alias("rep"))
-        self.members = prints.select("content", "id").join(first, "content").select("rep", "id")
-        reps = prints.join(first.select(F.col("rep").alias("id")), "id", "left_semi")
+        contents = cut_lineage(fingerprints(df, key, title_col, text_col, shingle, least_words, signed=False))
+        first = contents.groupBy("content").agg(F.min("id").alias("rep"))
+        self.members = contents.join(first, "content").select("rep", "id")
+        prints = fingerprints(df, key, title_col, text_col, shingle, least_words)
+        of_first = F.min_by(F.struct("id", "bands", "sketch"), "id").alias("p")
+        reps = prints.groupBy("content").agg(of_first).select("p.*")
         self.links = verified(candidates(reps, threshold), df, key, title_col, text_col, shingle, threshold)
 
     def pairs(self) -> DataFrame:

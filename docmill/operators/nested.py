@@ -12,6 +12,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from docmill.functions.rows import each_struct
+
 #: A whole number, however it is written: sign, digits, and a fraction or exponent that leaves it whole.
 WHOLE_NUMBER = r"^[+-]?\d+(\.0*)?$"
 DECIMAL_NUMBER = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
@@ -131,7 +133,7 @@ def trace_counters(trace: DataFrame, id_col: str = "trace_id", payload_col: str
         )
 
     found = _records(trace, id_col, payload_col, "trace", "steps")
-    return found.select("record_id", F.inline(_in_each(F.col("items"), F.lit(""), "steps", step_rows)))
+    return each_struct(found, ["record_id"], _in_each(F.col("items"), F.lit(""), "steps", step_rows), "parent")
 
 
 def report_scores(reports: DataFrame, id_col: str = "report_id", payload_col: str = "payload") -> DataFrame:
@@ -152,7 +154,7 @@ def report_scores(reports: DataFrame, id_col: str = "report_id", payload_col: st
         return F.filter(F.array(*rows), lambda x: x["n"].isNotNull())
 
     found = _records(reports, id_col, payload_col, "llm_impact_report", "pairs")
-    return found.select("record_id", F.inline(_in_each(F.col("items"), F.lit(""), "pairs", pair_rows)))
+    return each_struct(found, ["record_id"], _in_each(F.col("items"), F.lit(""), "pairs", pair_rows), "parent")
 
 
 def trace_steps(trace: DataFrame, id_col: str = "trace_id", payload_col: str = "payload") -> DataFrame:
@@ -165,7 +167,7 @@ def trace_steps(trace: DataFrame, id_col: str = "trace_id", payload_col: str = "
 
     steps = F.transform(F.transform(F.col("items"), as_object), row)
     found = _records(trace, id_col, payload_col, "trace", "steps")
-    return found.select("record_id", F.inline(F.filter(steps, lambda s: s["is_object"]))).drop("is_object")
+    return each_struct(found, ["record_id"], F.filter(steps, lambda s: s["is_object"]), "is_object").drop("is_object")
 
 
 def tool_calls(trace: DataFrame, id_col: str = "trace_id", payload_col: str = "payload") -> DataFrame:
@@ -177,7 +179,7 @@ def tool_calls(trace: DataFrame, id_col: str = "trace_id", payload_col: str = "p
 
     calls = F.transform(F.transform(F.col("items"), as_object), row)
     found = _records(trace, id_col, payload_col, "trace", "tool_calls")
-    return found.select("record_id", F.inline(F.filter(calls, lambda s: s["is_object"]))).drop("is_object")
+    return each_struct(found, ["record_id"], F.filter(calls, lambda s: s["is_object"]), "is_object").drop("is_object")
 
 
 def nested_counts(trace: DataFrame, reports: DataFrame) -> DataFrame:

@@ -4,4 +4,4 @@ from docmill.registry import Registry
 
 REGISTRY = Registry()
 
-from docmill.queries import problems  # noqa: E402, F401
+from docmill.queries import core, problems  # noqa: E402, F401

@@ -77,12 +77,13 @@ def prob_minhash(owner: np.ndarray, items: np.ndarray, n: int, registers: int =
     Every item is a Poisson process of its weight's rate, the same in every set: its arrivals are seeded by the item
     and fall into registers at random, and a register keeps its earliest arrival. All items advance arrival by arrival;
     one drops out as soon as its next arrival is later than every register of its set. An arrival's time names item and
-    arrival, so it serves as the register's value. With equal weights the estimate is that of plain Jaccard.
+    arrival in every set where weights are equal, and serves as the register's value; the estimate then is that of plain
+    Jaccard. Under weights the register keeps the item.
     """
     earliest = np.full(n * registers, np.inf)
     base = owner * registers
     seed, time, rate = mix(items * _A + _B), np.zeros(len(items)), weights
-    latest = np.full(n, np.inf)
+    latest, winner = np.full(n, np.inf), np.zeros(n * registers if weights is not None else 0, np.uint64)
     step = 0
     while len(seed):
         step += 1
@@ -94,9 +95,12 @@ def prob_minhash(owner: np.ndarray, items: np.ndarray, n: int, registers: int =
         rate = None if rate is None else rate[alive]
         register = (mix(draw ^ _A) % np.uint64(registers)).astype(np.int64)
         np.minimum.at(earliest, base + register, time)
+        if rate is not None:
+            first = earliest[base + register] == time
+            winner[(base + register)[first]] = seed[first]
         if step % 4 == 0 or len(seed) > 50_000:
             latest = earliest.reshape(n, registers).max(axis=1)
-    return earliest.view(np.uint64).reshape(n, registers)
+    return (earliest.view(np.uint64) if weights is None else winner).reshape(n, registers)
 
 
 def band_keys(signatures: np.ndarray, rows: int = ROWS) -> np.ndarray:

@@ -82,13 +82,15 @@ def cell_number(text: Column) -> Column:
 
     Units don't scale the value. Percentages and anything else give null.
     """
-    clean = strip(F.replace(text, F.lit(","), F.lit("")))
-    negative = clean.startswith("(") & clean.endswith(")")
-    clean = F.when(negative, strip(F.substring(clean, F.lit(2), F.length(clean) - 2))).otherwise(clean)
-    clean = F.regexp_replace(clean, "^[￥¥$]", "")
-    clean = strip(F.regexp_replace(clean, "(?:人民币|元|万元|亿元|万|亿)$", ""))
-    value = F.when(clean.rlike(r"^[-+]?\d+(?:\.\d+)?$"), clean.try_cast("double"))
-    return F.when(~text.contains("%"), F.when(negative, -value).otherwise(value))
+
+    def signed(clean: Column) -> Column:
+        negative = clean.startswith("(") & clean.endswith(")")
+        bare = F.when(negative, strip(F.substring(clean, F.lit(2), F.length(clean) - 2))).otherwise(clean)
+        bare = F.regexp_replace(F.regexp_replace(bare, "^[￥¥$]", ""), "(?:人民币|元|万元|亿元|万|亿)$", "")
+        return bind(strip(bare), lambda x: F.when(x.rlike(r"^[-+]?\d+(?:\.\d+)?$"), F.when(negative, -x.try_cast("double")).otherwise(x.try_cast("double"))))
+
+    plausible = text.rlike("[0-9]") & ~text.contains("%")
+    return F.when(plausible, bind(strip(F.replace(text, F.lit(","), F.lit(""))), signed))
 
 
 def first_number(text: Column) -> Column:
@@ -112,7 +114,7 @@ def profile_tokens(text: Column) -> Column:
     words = F.regexp_extract_all(low, F.lit("[a-z0-9]+"), F.lit(0))
     return bind(
         F.regexp_extract_all(low, F.lit("[一-鿿]"), F.lit(0)),
-        lambda chars: F.concat(words, chars, F.zip_with(F.slice(chars, F.lit(1), F.greatest(F.size(chars) - 1, F.lit(0))), F.slice(chars, 2, F.greatest(F.size(chars), F.lit(1))), F.concat)),
+        lambda chars: F.concat(words, chars, F.zip_with(F.slice(chars, F.lit(1), F.greatest(F.size(chars) - 1, F.lit(0))), F.slice(chars, 2, F.greatest(F.size(chars), F.lit(1))), lambda a, b: F.concat(a, b))),
     )
 
 

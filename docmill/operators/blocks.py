@@ -164,8 +164,9 @@ def text_chunks(df: DataFrame, key: str = "doc_id", text_col: str = "text") -> D
     own = own.where(~F.col("section_title").rlike(LOW_VALUE_SECTION))
     clean = own.withColumn("clean", T.clean_chunk_text(F.col("text")))
     parts = each(clean, ["doc_id", F.lit(0).alias("rank"), F.col("section_no").alias("at"), "section_title"], split_long_text(F.col("clean")), "part", "chunk_text")
-    found = tables(df, key, text_col).select("doc_id", F.lit(1).alias("rank"), F.col("table_index").alias("at"), F.lit("document").alias("section_title"), F.lit(0).alias("part"), T.clean_chunk_text(table_text(F.col("headers"), F.col("body"))).alias("chunk_text"))
-    both = parts.unionByName(found.where("chunk_text <> ''"))
+    told = T.clean_chunk_text(table_text(F.col("headers"), F.col("body")))
+    keep = ["doc_id", F.lit(1).alias("rank"), F.col("table_index").alias("at"), F.lit("document").alias("section_title")]
+    both = parts.unionByName(each(tables(df, key, text_col), keep, F.filter(F.array(told), lambda x: x != ""), "part", "chunk_text"))
     kind = F.when(F.col("rank") == 0, "text").otherwise("table")
     numbered = both.select("doc_id", kind.alias("content_type"), "section_title", "chunk_text", F.row_number().over(Window.partitionBy("doc_id").orderBy("rank", "at", "part")).alias("seq"))
     chunk_id = F.concat_ws(":", T.slug(F.col("doc_id").cast("string")), F.lit("p1"), "content_type", F.col("seq").cast("string"))

@@ -99,7 +99,7 @@ def table_pairs(found: DataFrame) -> DataFrame:
     low = F.transform(heads, F.lower)
     known = F.arrays_overlap(low, F.array(*[F.lit(w) for w in KEY_HEADERS + VALUE_HEADERS]))
     plain = (F.size(heads) == 2) & ~F.exists(heads, lambda h: h.rlike(NUMBER))
-    rows = each(found.where((F.col("column_count") == 2) & (known | plain)), ["doc_id", "table_index"], "body")
+    rows = each(found, ["doc_id", "table_index"], F.when((F.col("column_count") == 2) & (known | plain), F.col("body")))
     key, value = F.get("col", F.lit(0)), F.get("col", F.lit(1))
     pairs = rows.select("doc_id", (F.col("table_index") * 100_000 + F.col("pos")).alias("at"), key.alias("key"), value.alias("value"))
     return pairs.where("key <> '' and value <> ''")

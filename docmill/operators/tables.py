@@ -34,8 +34,8 @@ def raw_tables(df: DataFrame, key: str = "doc_id", text_col: str = "text") -> Da
 
     raw are the cells of its lines without separator lines.
     """
-    flagged = with_lines(df, key, text_col).withColumn("flags", F.transform("lines", lambda x: x.rlike(TABLE_ROW)))
-    found = flagged.where(F.exists("flags", lambda x: x)).withColumn("runs", F.filter(islands(F.col("flags")), lambda r: r["n"] >= 2))
+    barred = with_lines(df, key, text_col).where(F.col("text").contains("|"))
+    found = barred.withColumn("flags", F.transform("lines", lambda x: x.rlike(TABLE_ROW))).withColumn("runs", F.filter(islands(F.col("flags")), lambda r: r["n"] >= 2))
     spans = each(found, ["doc_id", "lines"], "runs")
     rows = F.filter(F.transform(F.slice("lines", F.col("col.first") + 1, F.col("col.n")), cells_of), lambda c: ~is_separator(c))
     return spans.select("doc_id", F.col("pos").alias("table_index"), (F.col("col.first") + 1).alias("start_line"), rows.alias("raw"))
@@ -107,12 +107,11 @@ def total_checks(tables: DataFrame) -> DataFrame:
 
     The cell is held against the sum of the same column over all rows before that aren't total rows. With fewer than two
     numbers there it is `uncompared`; else `verified` within a millionth of it (0.01 at least, 1 at most) or `mismatch`.
-    Rows of a table are folded in place, one pass, without shuffle.
+    Rows of a table are folded in place, without shuffle. Tables without total are left out inside the expression: a
+    filter on what was computed would be pushed below its projections and compute it all again.
     """
-    rows = tables.select(
-        "doc_id", "table_index", "column_count",
-        F.transform("body", lambda r: F.struct(is_total(r).alias("total"), F.transform(r, T.cell_number).alias("numbers"))).alias("rows"),
-    ).where(F.exists("rows", lambda r: r["total"]))
+    marked = F.transform("body", lambda r: F.struct(is_total(r).alias("total"), F.transform(r, T.cell_number).alias("numbers")))
+    rows = tables.select("doc_id", "table_index", F.when(F.exists("body", is_total), marked).alias("rows"))
     totals = each(rows, ["doc_id", "table_index", "rows"], "rows", "row_index", "row").where("row.total")
     cells = each(totals, ["doc_id", "table_index", "row_index", "rows"], "row.numbers", "column_index", "expected").where("expected is not null")
     before = F.filter(F.slice("rows", F.lit(1), F.col("row_index")), lambda r: ~r["total"])

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docmill.functions import text as T
-from docmill.functions.patterns import LOW_VALUE_SECTION, TABLE_ROW
+from docmill.functions.patterns import LOW_VALUE_SECTION
 from docmill.functions.rows import each
 from docmill.operators.documents import sections, with_lines
 from docmill.operators.tables import tables
@@ -36,31 +36,60 @@ def content_summary(blocks: DataFrame) -> DataFrame:
     return out.withColumn("provenance_level", F.when(F.col("page_count") > 0, "page").otherwise("document"))
 
 
+# What opens a block of each kind, on a stripped line.
+BLOCK_HEADING = r"^#{1,6}(?U:\s)+\S"
+BLOCK_LIST = r"^(?:[-*+]|\d+[.)])(?U:\s)+\S"
+BLOCK_SEPARATOR = r"^\|?(?U:\s)*:?-{3,}:?(?U:\s)*(?:\|(?U:\s)*:?-{3,}:?(?U:\s)*)+\|?$"
+BLOCK_HTML = r"(?i)<table(?:\s|>|$)"
+
+
+def line_kinds(lines: Column) -> Column:
+    """The kind of each line: heading, list, text, table or empty; `table!` where a table opens.
+
+    A pipe table opens where its separator line comes next and lasts as long as its lines; an HTML table lasts to the
+    line that closes it. One fold over the lines, as what a line is depends on what is open.
+    """
+    pairs = F.transform(F.transform(lines, T.strip), lambda x, i: F.struct(x.alias("x"), T.strip(F.get(lines, i + 1)).alias("next")))
+    start = F.struct(F.lit("").alias("open"), F.array().cast("array<string>").alias("kinds"))
+
+    def step(s: Column, p: Column) -> Column:
+        x = p["x"]
+        barred = x.startswith("|") & F.substring(x, F.lit(2), F.length(x)).contains("|")
+        closes = F.lower(x).contains("</table")
+        html, pipe = F.lit("html"), F.lit("pipe")
+        kind = (
+            F.when(s["open"] == html, "table").when(x == "", "").when((s["open"] == pipe) & barred, "table").when(x.rlike(BLOCK_HEADING), "heading")
+            .when(x.rlike(BLOCK_HTML), "table!").when(barred & F.coalesce(p["next"].rlike(BLOCK_SEPARATOR), F.lit(False)), "table!")
+            .when(x.rlike(BLOCK_LIST), "list").otherwise("text")
+        )
+        still = (
+            F.when(s["open"] == html, F.when(closes, "").otherwise(html)).when((s["open"] == pipe) & barred, pipe).when(x.rlike(BLOCK_HEADING), "")
+            .when(x.rlike(BLOCK_HTML), F.when(closes, "").otherwise(html)).when(barred & F.coalesce(p["next"].rlike(BLOCK_SEPARATOR), F.lit(False)), pipe).otherwise("")
+        )
+        return F.struct(still.alias("open"), F.concat(s["kinds"], F.array(kind)).alias("kinds"))
+
+    return F.aggregate(pairs, start, step, lambda s: s["kinds"])
+
+
 def text_blocks(df: DataFrame, key: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, block_idx, type, text): runs of lines of one kind; headings alone, pipe tables, lists and other text.
+    """(doc_id, block_idx, type, text): headings alone, pipe and HTML tables, lists and other text.
 
-    Empty lines part blocks and belong to none. A line's kind needs its own text only, a block's begin the kind of the
-    line before, so runs are found inside the row.
+    Empty lines part blocks and belong to none. Runs of lines of one kind are found inside the row, without a shuffle.
     """
-    kind = lambda x: (
-        F.when(T.strip(x) == "", "")
-        .when(x.rlike(r"^#{1,6}(?U:\s)+\S"), "heading")
-        .when(x.rlike(TABLE_ROW), "table")
-        .when(x.rlike(r"^(?U:\s)*(?:[-*+•]|\d+[.)])(?U:\s)+"), "list")
-        .otherwise("text")
-    )
-    kinds = with_lines(df, key, text_col).withColumn("kinds", F.transform("lines", kind))
-    same = lambda i: (F.get("kinds", i) == F.get("kinds", i - 1)) & (F.get("kinds", i) != "heading")
+    kinds = with_lines(df, key, text_col).withColumn("kinds", line_kinds(F.col("lines")))
+    at = lambda i: F.get("kinds", i)
+    goes_on = (lambda i: (F.rtrim(at(i), F.lit("!")) == F.rtrim(at(i - 1), F.lit("!"))) & ~at(i).isin("heading", "table!"))
     spots = F.sequence(F.lit(0), F.greatest(F.size("lines") - 1, F.lit(0)))
-    marked = kinds.where("size(lines) > 0").withColumn("starts", F.filter(spots, lambda i: ~F.coalesce(same(i), F.lit(False))))
+    marked = kinds.withColumn("starts", F.filter(spots, lambda i: ~F.coalesce(goes_on(i), F.lit(False))))
     runs = F.transform(
         "starts",
         lambda s, k: F.struct(
-            F.get("kinds", s).alias("type"),
+            F.rtrim(at(s), F.lit("!")).alias("type"),
             T.strip(F.array_join(F.slice("lines", s + 1, F.coalesce(F.get("starts", k + 1), F.size("lines")) - s), "\n")).alias("text"),
         ),
     )
-    return each(marked, ["doc_id"], F.filter(runs, lambda r: r["type"] != "")).select("doc_id", F.col("pos").alias("block_idx"), "col.type", "col.text")
+    kept = F.filter(runs, lambda r: F.coalesce(r["type"] != "", F.lit(False)))
+    return each(marked, ["doc_id"], kept).select("doc_id", F.col("pos").alias("block_idx"), "col.type", "col.text")
 
 
 def split_long_text(text: Column, most: int = MOST_TOKENS) -> Column:

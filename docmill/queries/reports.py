@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from docmill.functions import text as T
-from docmill.operators import nested, search, tables
+from docmill.functions.rows import each
+from docmill.operators import evaluation, facts, nested, search, tables
 from docmill.plans import profiles, reports
 from docmill.queries import REGISTRY
 from docmill.queries.core import SPACE, WS, documents_of
@@ -334,3 +335,29 @@ def doc_html_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("doc_html_links")
 def doc_html_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.html_links(documents_of(spark, sf_dir), "doc_id", "text")
+
+
+@query(
+    "title_numbers",
+    r"""
+    with n as (select row_id, coalesce(chunk_text, '') as body, unnest(regexp_extract_all(section_title, '[-+]?[0-9][0-9,，]*(?:\.[0-9]+)?%?')) as number from retrieval_chunks)
+    select row_id, number from n where not contains(body, number) and not contains(replace(replace(body, ',', ''), '，', ''), replace(replace(number, ',', ''), '，', ''))
+    """,
+)
+def title_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Numbers of a chunk's title that its text doesn't hold."""
+    rows = table(spark, sf_dir, "retrieval_chunks")
+    return each(rows, ["row_id"], evaluation.unsupported_numbers(F.col("section_title"), F.col("chunk_text")), "at", "number").drop("at")
+
+
+@query("label_numeric_evidence")
+def label_numeric_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of each labelled page, whether its first date's year stands among the figures of a line."""
+    docs = documents_of(spark, sf_dir).join(table(spark, sf_dir, "review_labels").where("tbl = 'documents'").select(F.col("row_id").alias("doc_id")).distinct(), "doc_id", "left_semi")
+    wanted = facts.dates(docs).select("doc_id", F.col("date_no").alias("check_no"), F.col("date").alias("text_contains"), F.lit(None).cast("array<string>").alias("numbers"))
+    return evaluation.numeric_evidence(wanted, facts.numeric_facts(docs))
+
+
+@query("doc_equations")
+def doc_equations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evaluation.equations(documents_of(spark, sf_dir).where(F.col("text").contains("=")), "doc_id", "text")

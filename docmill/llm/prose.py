@@ -77,6 +77,11 @@ NOT_A_SENTENCE = re.compile(r"\.{4,}|…{2,}|·{3,}|( \. ?){3,}|\t|\||<t[dhr]|;[
 BREAK = re.compile(r"(?m)^[ \t]*\(?\d{1,3}(?:\.\d+)*[.)、][ \t]|^[ \t]*(?:[-*•·□■◦]|\([a-zA-Z]\))[ \t]|(?:[ \t]*[.…·]){3,}")
 
 
+def common_in(words: list[str], known: frozenset[str]) -> int:
+    """Function words among words; single Latin letters don't count."""
+    return sum(w in known and (len(w) > 1 or w > "\x7f") for w in words)
+
+
 def is_sentence(segment: str, known: frozenset[str], ended: bool) -> bool:
     """Enough words in a row, few signs and figures, no cells, leaders or separators; with a mark at its end, or else
     with function words or commas enough to tell it from a name."""
@@ -88,15 +93,16 @@ def is_sentence(segment: str, known: frozenset[str], ended: bool) -> bool:
     ideographs = sum(len(w) == 1 and w >= "㐀" for w in words)
     if ideographs > len(words) / 2:
         return ideographs >= 6 if ended else ideographs >= 12
-    common = sum(w in known and (len(w) > 1 or w > "\x7f") for w in words)
+    common = common_in(words, known)
     if ended:
         return common * 16 >= len(words) and common > 0 or len(words) >= 5 and letters >= 0.75 * dense and max(map(len, words)) < 40
     return len(words) >= 6 and common * 10 >= len(words)
 
 
 def sentences_of(text: str, known: frozenset[str]) -> list[str]:
-    """Sentences of text: those that end as sentences do, and one that fills a text without its full stop."""
-    text = BREAK.sub("\n\n", text)
+    """Sentences of text: those that end as sentences do, or else the paragraphs that are one without its full stop."""
+    listed = BREAK.search(text)
+    text = BREAK.sub("\n\n", text) if listed else text
     found, at = [], 0
     for end in SENTENCE_END.finditer(text):
         segment = text[at : end.end()]
@@ -104,11 +110,12 @@ def sentences_of(text: str, known: frozenset[str]) -> list[str]:
         if is_sentence(segment, known, True):
             found.append(segment)
         at = end.end()
-    rest = text[at:].strip()
-    if rest and not found and "\n\n" not in text.strip():
-        lines = rest.split("\n")
-        if (len(lines) == 1 or min(map(len, lines[:-1])) >= 40) and ":" not in rest[:25] and is_sentence(rest, known, False):
-            found.append(rest)
+    if not found and not listed:
+        for rest in re.split(r"\n\s*\n", text[at:].strip()):
+            lines = rest.split("\n")
+            whole = len(lines) == 1 or min(map(len, lines[:-1])) >= 40
+            if whole and ":" not in rest[:25] and is_sentence(rest, known, False):
+                found.append(rest)
     return found
 
 

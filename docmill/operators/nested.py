@@ -32,13 +32,21 @@ def _unquoted(text: Column) -> Column:
     return F.when(bare.startswith('"'), F.btrim(held, F.lit(AROUND))).otherwise(bare)
 
 
+def bind(value: Column, use) -> Column:
+    """use(value) with value computed once: a lambda's variable is not computed again at each mention."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def whole_object(payload: Column) -> Column:
     """The text of the JSON object in payload; null if there is none, or if it can't be read in full.
 
-    A byte-order mark and a JSON string around the object are taken off.
+    A byte-order mark and a JSON string around the object are taken off. As the parser stops after the first value, the
+    text is read as the first item of a list of two: whatever follows the object then shows.
     """
     body = _unquoted(payload)
-    return F.when(body.startswith("{") & F.try_parse_json(body).isNotNull(), body)
+    listed = F.try_parse_json(F.concat(F.lit("["), body, F.lit(",0]")))
+    alone = bind(listed, lambda v: (F.try_variant_get(v, "$[1]", "int") == 0) & F.try_variant_get(v, "$[2]", "string").isNull())
+    return F.when(body.startswith("{") & alone, body)
 
 
 def unwrap(body: Column, wrapper: str) -> Column:
@@ -71,11 +79,6 @@ def whole_number(text: Column) -> Column:
     return F.coalesce(plain, F.when(scaled == F.floor(scaled), scaled.try_cast("bigint")))
 
 
-def bind(value: Column, use) -> Column:
-    """use(value) with value computed once: a lambda's variable is not computed again at each mention."""
-    return F.get(F.transform(F.array(value), use), F.lit(0))
-
-
 def field_of(obj: Column, name: str) -> Column:
     return F.try_element_at(obj, F.lit(name))
 

@@ -39,7 +39,7 @@ def test_places_count_null_items_and_attempts(spark):
 
 def test_unreadable_payloads_give_no_row(spark):
     whole = json.dumps({"steps": [STEP]})
-    bad = [None, "", "   ", "[]", "null", "12", '"text"', whole[:-1], whole[: len(whole) // 2], "{" + whole, json.dumps({"steps": None})]
+    bad = [None, "", "   ", "[]", "null", "12", '"text"', whole[:-1], whole[: len(whole) // 2], "{" + whole, whole + "x", whole + whole, whole + ' {"', whole + ",0", whole + "]x", whole[:-1] + "}]}", json.dumps({"steps": None})]
     assert rows(spark, bad) == set()
 
 

@@ -78,19 +78,28 @@ WESTERN_RUN = "(?<![A-Za-z])[\xa1-\xff‚ƒ„…†‡ˆ‰Š‹ŒŽ‘’“
 
 
 @cache
-def suspicion() -> tuple[re.Pattern, re.Pattern]:
-    """(characters one of which every match of the second begins with, what any text with something to repair matches)."""
-    parts = [garbled_pattern(e) for e in SINGLE_BYTE] + [double_byte_pattern(), WESTERN_RUN, *LOST]
-    first = {c for e in SINGLE_BYTE for c, byte in byte_of(e).items() if byte in LEADS or byte in WIDE_LEADS and e not in CYRILLIC}
-    first |= {bytes([a, b]).decode("gbk", "ignore") for a in range(0xE2, 0xF0) for b in range(0x80, 0xC0)} | {x[0] for x in LOST}
-    first |= set(re.findall(r"[^()?<!\[\]{}A-Za-z0-9,-]", WESTERN_RUN)) | {chr(c) for c in range(0x80, 0x100)}
-    return re.compile("[" + "".join(map(re.escape, sorted(x for x in first if len(x) == 1))) + "]"), re.compile("|".join(parts))
+def suspicion() -> tuple[re.Pattern, ...]:
+    """(two characters as any Western encoding shows a lead and a next byte, three upper-half ones in a row, patterns
+    that decide by themselves, all patterns). Each begins with one class of characters, which is quick to look for."""
+    western = [e for e in SINGLE_BYTE if e not in CYRILLIC]
+
+    def chars(values: set[int]) -> str:
+        return "[" + "".join(sorted({re.escape(c) for e in western for c, b in byte_of(e).items() if b in values})) + "]"
+
+    pair = chars(LEADS | WIDE_LEADS) + chars(set(range(0x80, 0xC0)))
+    run = re.search(r"\[[^\]]*\]\{3,\}", WESTERN_RUN[len("(?<![A-Za-z])") :]).group()
+    own = [garbled_pattern(e) for e in CYRILLIC] + [double_byte_pattern()]
+    every = [garbled_pattern(e) for e in western] + own + [WESTERN_RUN]
+    return re.compile(pair), re.compile(run), *map(re.compile, own), re.compile("|".join(every))
 
 
 def suspicious(text: str) -> bool:
-    quick, full = suspicion()
-    found = quick.search(text)
-    return bool(found and full.search(text, found.start()))
+    """Whether text may hold something to repair or to report."""
+    pair, run, *own, every = suspicion()
+    if any(x in text for x in LOST):
+        return True
+    found = pair.search(text) or run.search(text)
+    return bool(found and every.search(text)) or any(p.search(text) for p in own)
 
 
 @cache

@@ -52,6 +52,11 @@ def _plain_chars() -> re.Pattern:
     return re.compile("[" + "".join(map(chr, _plain_table())) + "]")
 
 
+@cache
+def _widthless() -> re.Pattern:
+    return re.compile("[" + "".join(f"{chr(first)}-{chr(last)}" for first, last in WITHOUT_WIDTH) + "]")
+
+
 def readable(text: str) -> str:
     """text as a reader takes it: decoding errors undone, compatibility forms and characters without width resolved."""
     if "&" in text:
@@ -60,56 +65,84 @@ def readable(text: str) -> str:
         return text
     if suspicious(text):
         text = repair(text)[0]
-    return unicodedata.normalize("NFKC", text)
+    return unicodedata.normalize("NFKC", _widthless().sub("", text))
+
+
+@cache
+def _languages_of() -> dict[str, tuple[str, ...]]:
+    words = frozenset().union(*common_sets().values())
+    return {w: tuple(lang for lang, known in common_sets().items() if w in known) for w in words}
 
 
 def language_of(words: list[str]) -> tuple[str, int]:
     """(language, number of its common words) that most words speak for; und without any."""
-    counts = Counter(words)
-    hits = {lang: sum(counts[w] for w in known & counts.keys()) for lang, known in common_sets().items()}
+    counts, spoken, hits = Counter(words), _languages_of(), Counter()
+    for word in counts.keys() & spoken.keys():
+        for lang in spoken[word]:
+            hits[lang] += counts[word]
+    if not hits:
+        return "und", 0
     lang = max(hits, key=lambda x: (hits[x], x))
-    return (lang, hits[lang]) if hits[lang] else ("und", 0)
+    return lang, hits[lang]
 
 
 #: What a list, a form, a contents line or a table has and a sentence hasn't: leaders, cells, several semicolons.
 NOT_A_SENTENCE = re.compile(r"\.{4,}|…{2,}|·{3,}|( \. ?){3,}|\t|\||<t[dhr]|;[^;]*;[^;]*;|[=_~#*^]{3,}")
-#: Where a list entry begins, and dot leaders: no sentence runs across them.
-BREAK = re.compile(r"(?m)^[ \t]*\(?\d{1,3}(?:\.\d+)*[.)、][ \t]|^[ \t]*(?:[-*•·□■◦]|\([a-zA-Z]\))[ \t]|(?:[ \t]*[.…·]){3,}")
+#: One of these is in whatever NOT_A_SENTENCE matches.
+ODD_SIGN = re.compile(r"[\t|<;=_~#*^…·]")
+#: Where a list entry begins, after a line break, and dot leaders: no sentence runs across them.
+ENTRY = re.compile(r"\n[ \t]*(?:\(?\d{1,3}(?:\.\d+)*[.)、]|[-*•·□■◦]|\([a-zA-Z]\))[ \t]")
+LEADERS = re.compile(r"(?:[ \t]*[.…·]){3,}")
+SYMBOL = re.compile(r"[^\w]|_")
 
 
-def common_in(words: list[str], known: frozenset[str]) -> int:
-    """Function words among words; single Latin letters don't count."""
-    return sum(w in known and (len(w) > 1 or w > "\x7f") for w in words)
+@cache
+def _strong_sets() -> dict[str, frozenset[str]]:
+    """The common words without single Latin letters, which noise is full of."""
+    return {lang: frozenset(w for w in known if len(w) > 1 or w > "\x7f") for lang, known in common_sets().items()}
 
 
 def is_sentence(segment: str, known: frozenset[str], ended: bool) -> bool:
     """Enough words in a row, few signs and figures, no cells, leaders or separators; with a mark at its end, or else
-    with function words or commas enough to tell it from a name."""
+    with function words enough to tell it from a name."""
     words = WORD.findall(segment.lower())
+    if len(words) < 4:
+        return False
     dense = len(segment) - segment.count(" ") - segment.count("\n")
-    letters = sum(map(str.isalpha, segment)) + segment.count("�")
-    if len(words) < 4 or letters < 0.45 * dense or NOT_A_SENTENCE.search(segment):
+    letters = sum(map(len, words)) - sum([len(w) for w in words if w[0] <= "9"]) + segment.count("�")
+    if letters < 0.45 * dense:
+        return False
+    if ("...." in segment or " ." in segment or ODD_SIGN.search(segment)) and NOT_A_SENTENCE.search(segment):
         return False
-    ideographs = sum(len(w) == 1 and w >= "㐀" for w in words)
-    if ideographs > len(words) / 2:
-        return ideographs >= 6 if ended else ideographs >= 12
-    common = common_in(words, known)
+    if not segment.isascii():
+        ideographs = len([w for w in words if w >= "㐀"])
+        if ideographs > len(words) / 2:
+            return ideographs >= 6 if ended else ideographs >= 12
+    common = sum(map(known.__contains__, words))
     if ended:
         return common * 16 >= len(words) and common > 0 or len(words) >= 5 and letters >= 0.75 * dense and max(map(len, words)) < 40
-    return len(words) >= 6 and common * 10 >= len(words)
+    return len(words) >= 6 and common > 0 and common * 14 >= len(words)
+
+
+def _parted(text: str) -> tuple[str, bool]:
+    """(text with list entries and dot leaders as paragraph breaks, whether it had any)."""
+    parted, entries = ENTRY.subn("\n\n", "\n" + text)
+    leaders = 0
+    if ".." in text or "…" in text or "·" in text or ". ." in text:
+        parted, leaders = LEADERS.subn("\n\n", parted)
+    return (parted, True) if entries or leaders else (text, False)
 
 
 def sentences_of(text: str, known: frozenset[str]) -> list[str]:
     """Sentences of text: those that end as sentences do, or else the paragraphs that are one without its full stop."""
-    listed = BREAK.search(text)
-    text = BREAK.sub("\n\n", text) if listed else text
+    text, listed = _parted(text)
     found, at = [], 0
     for end in SENTENCE_END.finditer(text):
-        segment = text[at : end.end()]
-        segment = segment[max(segment.rfind("\n\n"), 0) :]
-        if is_sentence(segment, known, True):
-            found.append(segment)
-        at = end.end()
+        stop = end.end()
+        start = max(text.rfind("\n\n", at, stop), at)
+        if is_sentence(text[start:stop], known, True):
+            found.append(text[start:stop])
+        at = stop
     if not found and not listed:
         for rest in re.split(r"\n\s*\n", text[at:].strip()):
             lines = rest.split("\n")
@@ -132,10 +165,10 @@ def text_stats(text: str) -> tuple[str, int, float, float, float, float, float,
             text, words, (lang, common) = plain, other, by
     solid = "".join(text.split())
     dense = len(solid) or 1
-    symbols = len(solid) - sum(map(str.isalnum, solid))
+    symbols = len(SYMBOL.findall(solid))
     lines = [x for x in (line.strip() for line in text.splitlines()) if x]
     closed = sum(line.endswith(CLOSING) for line in lines) / max(1, len(lines))
-    found = sentences_of(text, common_sets().get(lang, frozenset()))
+    found = sentences_of(text, _strong_sets().get(lang, frozenset()))
     inside = sum(len(x) - x.count(" ") - x.count("\n") for x in found)
     n = max(1, len(words))
     return lang, len(words), sum(map(len, words)) / n, symbols / dense, closed, common / n, min(1.0, inside / dense), len(found)

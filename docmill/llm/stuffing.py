@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docmill.llm.prose import SENTENCE_END, WORD, common_sets, readable
+from docmill.llm.prose import CJK, SENTENCE_END, WORD, common_sets, readable
 from docmill.session import cut_lineage
 
 #: Words of a phrase shingle, and hosts that must hold a phrase for it to count as replicated.
@@ -28,6 +28,8 @@ LINK = re.compile(r"(?:https?://|www\.)[^\s\"'<>)\]|]+|</?(?:a|li|ul|ol|p|div)\b
 HASHTAG = re.compile(r"#\w+")
 #: A price after a sign, dots or a bracket, or an article code between bars.
 PRICE = re.compile(r"(?:=|\.{3,}|\(|,|:|\|)\s*\d[\d,.]*[.,]\d\d\b|\b[A-Z]{2}-\d{2,6}\s*\|.*\||\d\s?(?:€|EUR|USD|\$|£)")
+#: Ideographs set apart by spaces, as keywords are and sentences aren't.
+SPACED = re.compile(f"[{CJK}] +(?=[{CJK}])")
 #: What stands among tags besides keywords: codes, sizes, grades and weights.
 ATTRIBUTE = re.compile(r"^\s*(?:tags?:)?\s*(?:[A-Z]{2}-\d{2,6}|size \d+|[A-Z]{1,3}\d?|\d+ ?(?:g|mm|cm|kg|ml)|blue|red|green|black|white|matt|glossy)\s*$", re.I)
 #: A wrapped sentence goes on over a line break only after a line of at least so many characters.
@@ -52,7 +54,7 @@ def _tells(segment: str) -> bool:
     common = len([w for w in words if w in _FUNCTION])
     ideographs = len([w for w in words if len(w) == 1 and w >= "㐀"])
     if ideographs > len(words) / 2:
-        return common > 0 or ideographs >= 8 and segment.strip().count(" ") <= ideographs / 12
+        return (common > 0 or ideographs >= 8) and len(SPACED.findall(segment)) <= ideographs / 20
     return common > 0 and common * 16 >= len(words)
 
 

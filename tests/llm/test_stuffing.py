@@ -12,6 +12,7 @@ SPAM = [
     "#pdfconverter #ocrsoftware #pdfconverter #pdfconverter #ocrsoftware77 #pdfconverter",
     "\n".join(f"item{i} archive = {i}11,611.55 budget sheet" for i in range(9)),
     "Tags: size 29; stamp maker; LX-79573; DB-79797; free contract form; 80g; blue; A4; receipt app",
+    "# 图纸打印\n\n在线 财务软件! 最好的 档案盒! 最好的 合同模板! 订 档案盒! 订 合同模板! 便宜 合同模板! 最好的 档案盒! 在线 财务软件!",
     "buy tax form! best tax form! best scanner deal! online tax form! tax form order! get tax form!",
 ]
 PAGES = [

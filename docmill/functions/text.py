@@ -158,3 +158,30 @@ def f1(precision: Column, recall: Column) -> Column:
 def page_number(page_no: Column, page_idx: Column) -> Column:
     """One-based page: as given, but 1 at least, or from a zero-based index, or 1."""
     return F.coalesce(F.greatest(page_no, F.lit(1)), page_idx + 1, F.lit(1))
+
+
+def int_or(text: Column, default: int = 0, least: int | None = 0) -> Column:
+    """text as a whole number, or default where it isn't one; least clamps it from below."""
+    value = F.coalesce(text.try_cast("int"), F.lit(default))
+    return value if least is None else F.greatest(value, F.lit(least))
+
+
+def truth(text: Column) -> Column:
+    """Whether text says yes: 1, true, yes, on, in any case."""
+    return F.coalesce(F.lower(strip(text)).isin("1", "true", "yes", "on"), F.lit(False))
+
+
+def choice(text: Column, allowed: tuple[str, ...], default: str) -> Column:
+    return F.when(text.isin(*allowed), text).otherwise(F.lit(default))
+
+
+def relative_path(path: Column, root: str) -> Column:
+    """path without root and the slash after it; other paths stay as they are."""
+    base = root.rstrip("/") + "/"
+    return F.when(path.startswith(base), F.substring(path, F.lit(len(base) + 1), F.length(path))).otherwise(path)
+
+
+def is_confined(path: Column, root: str) -> Column:
+    """Whether path lies in root and doesn't climb out of it."""
+    base = root.rstrip("/") + "/"
+    return path.startswith(base) & ~path.rlike(r"(^|/)\.\.(/|$)")

@@ -7,8 +7,10 @@ flatten joins the arrays of arrays, and one inline per target table emits its ro
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import json
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -191,3 +193,38 @@ def nested_counts(trace: DataFrame, reports: DataFrame) -> DataFrame:
         report_scores(reports).withColumn("tbl", F.lit("llm_impact_report"))
     )
     return both.select("tbl", "record_id", "parent", "field", "n")
+
+
+def leaves(value: object) -> Iterator[str]:
+    """Texts, numbers and flags at the leaves of a parsed JSON value, in order; keys and nulls are left out."""
+    stack = [value]
+    while stack:
+        item = stack.pop()
+        if isinstance(item, dict):
+            stack.extend(reversed(item.values()))
+        elif isinstance(item, list):
+            stack.extend(reversed(item))
+        elif item is not None:
+            yield item if isinstance(item, str) else str(item)
+
+
+def leaf_texts(df: DataFrame, key: str, json_col: str) -> DataFrame:
+    """(key, leaf_text): all leaves of each JSON value joined by spaces; null where it can't be read.
+
+    Depth is open, which no SQL expression covers, so values go through Arrow batches; nothing is shuffled.
+    """
+    src = df.select(F.col(key).alias("id"), F.col(json_col).cast("string").alias("json"))
+
+    def text_of(value: str | None) -> str | None:
+        try:
+            return None if value is None else " ".join(leaves(json.loads(value)))
+        except (ValueError, RecursionError):
+            return None
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = pa.array([text_of(v) for v in batch.column(1).to_pylist()], pa.string())
+            yield pa.RecordBatch.from_arrays([batch.column(0), texts], ["id", "leaf_text"])
+
+    kind = src.schema["id"].dataType.simpleString()
+    return src.mapInArrow(run, f"id {kind}, leaf_text string").withColumnRenamed("id", key)

@@ -132,3 +132,35 @@ def gated(turns: DataFrame, key: str, order: list[str], gate: Column) -> DataFra
 def current_state(events: DataFrame, key: str, state: str, order: Column) -> DataFrame:
     """(key, state): the last state of each key by order."""
     return events.groupBy(key).agg(F.max_by(state, order).alias(state))
+
+
+def status_counts(rows: DataFrame, by: list[str], column: str, values: tuple[str, ...]) -> DataFrame:
+    """by, total, a count for each of values, and other: how often column has each value; null counts as other."""
+    counts = [F.count_if(F.col(column) == v).alias(v) for v in values]
+    known = F.coalesce(F.col(column).isin(*values), F.lit(False))
+    return rows.groupBy(*by).agg(F.count("*").alias("total"), *counts, F.count_if(~known).alias("other"))
+
+
+def chunk_stats(chunks: DataFrame, by: str) -> DataFrame:
+    """by, total_chunks, types (`type=n` in order, joined by commas), pages: distinct pages named by chunks (content_type,
+    page_no, pages)."""
+    paged = chunks.select(by, F.coalesce("content_type", F.lit("unknown")).alias("type"), F.when(F.size("pages") > 0, F.col("pages")).otherwise(F.array("page_no")).alias("pages"))
+    typed = paged.groupBy(by, "type").agg(F.count("*").alias("n"))
+    listed = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("type", "n"))), lambda t: F.concat_ws("=", t["type"], t["n"].cast("string"))), ",")
+    pages = each(paged, [by], "pages", "at", "page").where("page is not null").groupBy(by).agg(F.countDistinct("page").alias("pages"))
+    return typed.groupBy(by).agg(F.sum("n").alias("total_chunks"), listed.alias("types")).join(pages, by, "left").na.fill(0, ["pages"])
+
+
+def prefix_groups(cases: DataFrame, column: str, prefixes: list[tuple[str, str]]) -> DataFrame:
+    """cases with group: that of the first prefix column begins with, or `other`."""
+    out = F.lit("other")
+    for prefix, group in reversed(prefixes):
+        out = F.when(F.col(column).startswith(prefix), group).otherwise(out)
+    return cases.withColumn("group", F.coalesce(out, F.lit("other")))
+
+
+def group_summary(cases: DataFrame, score: str, seconds: str) -> DataFrame:
+    """(group, n, avg_score, total_seconds, avg_seconds) of cases with a group."""
+    return cases.groupBy("group").agg(
+        F.count("*").alias("n"), F.round(F.avg(score), 2).alias("avg_score"), F.round(F.coalesce(F.sum(seconds), F.lit(0.0)), 3).alias("total_seconds"), F.round(F.avg(seconds), 3).alias("avg_seconds")
+    )

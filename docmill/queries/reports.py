@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from docmill.functions import text as T
 from docmill.functions.rows import each
 from docmill.operators import evaluation, facts, nested, search, tables
-from docmill.plans import profiles, reports
+from docmill.plans import profiles, reports, view
 from docmill.queries import REGISTRY
 from docmill.queries.core import SPACE, WS, documents_of
 from docmill.session import table
@@ -361,3 +361,57 @@ def label_numeric_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("doc_equations")
 def doc_equations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluation.equations(documents_of(spark, sf_dir).where(F.col("text").contains("=")), "doc_id", "text")
+
+
+@query("doc_view")
+def doc_view(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The full view of every document, its parts as counts and their JSON as a hash."""
+    found = view.full_view(documents_of(spark, sf_dir))
+    parts = ("sections", "tables", "key_values", "numeric_facts", "dates", "anomaly_lines", "recommendations", "references")
+    sizes = [F.coalesce(F.size(p), F.lit(0)).alias(f"n_{p}") for p in parts]
+    return found.select("doc_id", *sizes, "heading_count", "fallback_count", F.md5(F.to_json(F.struct(*parts))).alias("view_md5"))
+
+
+@query(
+    "chunk_stats",
+    """
+    with c as (select file_key, coalesce(content_type, 'unknown') as type, case when len(pages) > 0 then pages else [page_no] end as pages from retrieval_chunks),
+    t as (select file_key, type, count(*) as n from c group by all),
+    p as (select file_key, count(distinct page) as pages from (select file_key, unnest(pages) as page from c) group by file_key)
+    select t.file_key, cast(sum(n) as bigint) as total_chunks, string_agg(type || '=' || n, ',' order by type) as types, coalesce(any_value(p.pages), 0) as pages
+    from t left join p on t.file_key is not distinct from p.file_key group by t.file_key
+    """,
+)
+def chunk_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reports.chunk_stats(table(spark, sf_dir, "retrieval_chunks"), "file_key")
+
+
+@query(
+    "risk_status_counts",
+    """
+    select provenance_level, count(*) as total, count_if(status = 'completed')::bigint as completed, count_if(status = 'failed')::bigint as failed,
+      count_if(coalesce(status not in ('completed', 'failed'), true))::bigint as other from long_document_risk_report group by provenance_level
+    """,
+)
+def risk_status_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reports.status_counts(table(spark, sf_dir, "long_document_risk_report"), ["provenance_level"], "status", ("completed", "failed"))
+
+
+@query(
+    "risk_groups",
+    """
+    with g as (select case when starts_with(file_key, 'a') then 'first' when starts_with(file_key, 'b') then 'second' when starts_with(file_key, 'f_00') then 'files' else 'other' end as "group",
+      quality_score, elapsed_seconds from long_document_risk_report)
+    select coalesce("group", 'other') as "group", count(*) as n, round(avg(quality_score), 2) as avg_score, round(coalesce(sum(elapsed_seconds), 0), 3) as total_seconds, round(avg(elapsed_seconds), 3) as avg_seconds
+    from g group by all
+    """,
+)
+def risk_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = reports.prefix_groups(table(spark, sf_dir, "long_document_risk_report"), "file_key", [("a", "first"), ("b", "second"), ("f_00", "files")])
+    return reports.group_summary(rows, "quality_score", "elapsed_seconds")
+
+
+@query("trace_leaf_text")
+def trace_leaf_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The length of all leaf texts of each payload."""
+    return nested.leaf_texts(table(spark, sf_dir, "trace"), "trace_id", "payload").select("trace_id", F.length("leaf_text").alias("leaf_chars"))

@@ -61,3 +61,10 @@ def test_steps_and_calls(spark):
     assert [tuple(r)[:4] for r in nested.trace_steps(df).collect()] == [(1, 1, "a", "done")]
     assert nested.trace_steps(df).first()["n_attempts"] == 2
     assert [tuple(r) for r in nested.tool_calls(df).collect()] == [(1, 0, "t", None, 1.5)]
+
+
+def test_leaves(spark):
+    value = '{"k": "a \\"b\\" \\u00e9", "n": [1, -2.5, true, null, {"z": "y:"}], "e": ""}'
+    df = spark.createDataFrame([(1, value), (2, '"x"'), (3, ""), (4, None), (5, "[" * 5000 + "]" * 5000), (6, '["' + "x" * 200000 + '"]')], "id int, v string")
+    got = {r["id"]: r["leaf_text"] for r in nested.leaf_texts(df, "id", "v").collect()}
+    assert got[1] == 'a "b" é 1 -2.5 True y: ' and got[2] == "x" and got[3] is None and got[4] is None and got[5] in (None, "") and len(got[6]) == 200000

@@ -2,7 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from docmill.operators import search, tables
-from docmill.plans import profiles, reports
+from docmill.plans import profiles, reports, view
 from docmill.streaming import events
 
 
@@ -98,3 +98,24 @@ def test_a_failing_batch_is_reported_and_passed(spark, landed):
 
     events.per_batch(events.file_stream(spark, path, schema), f"{tmp}/c2", use, lambda i, e: failed.append(str(e)))
     assert failed == ["bad"]
+
+
+def test_full_view(spark):
+    text = "# A\nKey: value 12 on 2026-01-02\n| a | b |\n| --- | --- |\n| x | 1 |\n风险 建议 见第 3 页"
+    df = spark.createDataFrame([(1, text), (2, None), (3, "plain")], "doc_id int, text string")
+    got = {r["doc_id"]: r for r in view.full_view(df).collect()}
+    one = got[1]
+    assert (len(one["sections"]), len(one["tables"]), one["heading_count"], one["dates"][0]["date"]) == (1, 1, 1, "2026-01-02")
+    assert one["key_values"][0]["key"] == "Key" and one["anomaly_lines"][0]["line_no"] == 6 and one["references"][0]["target_page"] == 3
+    assert got[2]["sections"] is None and got[3]["fallback_count"] == 1
+
+
+def test_counts_and_groups(spark):
+    df = spark.createDataFrame([("a", "done", "ax", 1.0), ("a", None, "b", 2.0), ("b", "bad", "zz", None)], "k string, status string, name string, s double")
+    got = {r["k"]: tuple(r)[1:] for r in reports.status_counts(df, ["k"], "status", ("done", "bad")).collect()}
+    assert got == {"a": (2, 1, 0, 1), "b": (1, 0, 1, 0)}
+    grouped = reports.prefix_groups(df, "name", [("a", "A"), ("ax", "AX"), ("b", "B")])
+    assert [r["group"] for r in grouped.collect()] == ["A", "B", "other"]
+    assert {r["group"]: r["total_seconds"] for r in reports.group_summary(grouped, "s", "s").collect()} == {"A": 1.0, "B": 2.0, "other": 0.0}
+    chunks = spark.createDataFrame([("f", "text", 1, [1, 2]), ("f", "table", 2, []), ("f", None, 5, None)], "file string, content_type string, page_no int, pages array<int>")
+    assert tuple(reports.chunk_stats(chunks, "file").first()) == ("f", 3, "table=1,text=1,unknown=1", 3)

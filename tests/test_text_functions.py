@@ -70,3 +70,10 @@ def test_ratios(spark):
     assert [r[0] for r in df.select(T.f1(F.col("p"), F.col("r"))).collect()] == [0.5, 0.0, 0.0]
     assert [r[0] for r in df.select(T.ratio(F.col("p"), F.col("r"), 1.0)).collect()] == [1.0, 1.0, 1.0]
     assert not math.isnan(0.0)
+
+
+def test_coercions_and_paths(spark):
+    got = column(spark, ["7", "-3", "x", None], T.int_or(F.col("x")), T.int_or(F.col("x"), 5, None))
+    assert got == [(7, 7), (0, -3), (0, 5), (0, 5)]
+    assert column(spark, [" Yes", "0", None], T.truth(F.col("x")), T.choice(F.col("x"), ("0",), "d")) == [(True, "d"), (False, "0"), (False, "d")]
+    assert column(spark, ["/r/a/b", "/ra", "/r/../x"], T.relative_path(F.col("x"), "/r"), T.is_confined(F.col("x"), "/r/")) == [("a/b", True), ("/ra", False), ("../x", False)]

@@ -268,12 +268,13 @@ def doc_full_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents_of(spark, sf_dir)
     n = lambda rows, name: rows.groupBy("doc_id").agg(F.count("*").alias(name))
     found = tables.tables(docs)
-    counts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    text = F.coalesce("text", F.lit(""))
+    counts = docs.select("doc_id", F.length(text).alias("chars"))  # the joins below carry no texts
     for rows, name in ((documents.sections(docs).where("source = 'heading'"), "headings"), (keyvalues.key_values(docs), "pairs"), (found, "found")):
         counts = counts.join(n(rows, name), "doc_id", "left")
     counts = counts.na.fill(0, ["headings", "pairs", "found"])
-    structure = quality.structure_rules(F.length("text"), F.col("headings"), F.col("pairs"), F.col("found"))
-    own = quality.issues(counts, *quality.text_rules(F.col("text")), *structure)
+    structure = quality.structure_rules(F.col("chars"), F.col("headings"), F.col("pairs"), F.col("found"))
+    own = quality.issues(docs.select("doc_id", text.alias("text")), *quality.text_rules(F.col("text"))).unionByName(quality.issues(counts, *structure))
     totals = tables.total_issues(tables.total_checks(found)).select("doc_id", "code", "level")
     return quality.score(own.unionByName(totals), docs).select("doc_id", "errors", "warnings", "infos", "score", "status")
 

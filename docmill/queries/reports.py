@@ -230,7 +230,7 @@ def tasks_of(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("profile_scores")
 def profile_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return profiles.profile_scores(tasks_of(spark, sf_dir), profiles.profile_table(spark))
+    return profiles.profile_scores(tasks_of(spark, sf_dir))
 
 
 INTENT_SQL = " union all ".join(

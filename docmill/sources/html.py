@@ -20,6 +20,7 @@ VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "met
 DROPPED = {"script", "style", "noscript"}
 PARAGRAPHS = {"p", "blockquote", "figcaption"}
 HEADINGS = {f"h{i}": i for i in range(1, 7)}
+LINE_BREAKS = {"p", "div", "section", "article", "tr", "h1", "h2", "h3"}
 TABLE = re.compile(r"<table\b.*?</table>", re.I | re.S)
 
 
@@ -194,7 +195,6 @@ def html_blocks(html: str) -> list[tuple[str, str, int | None]]:
 def flat_text(html: str) -> tuple[str, list[tuple[str, str]]]:
     """(text of the page with block elements as line breaks, (text, href) of its links)."""
     root, parts, links = parse(html), [], []
-    breaks = {"p", "div", "section", "article", "tr", "h1", "h2", "h3"}
 
     def walk(node: Node, href: str | None) -> None:
         for child in node.children:
@@ -204,10 +204,10 @@ def flat_text(html: str) -> tuple[str, list[tuple[str, str]]]:
                     if href:
                         links.append((child.strip(), href))
             else:
-                if child.name in breaks or child.name == "br":
+                if child.name in LINE_BREAKS or child.name == "br":
                     parts.append("\n")
                 walk(child, child.attrs.get("href") if child.name == "a" else href)
-                if child.name in breaks:
+                if child.name in LINE_BREAKS:
                     parts.append("\n")
 
     walk(root, None)

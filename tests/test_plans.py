@@ -8,11 +8,10 @@ from docmill.streaming import events
 
 def test_profiles(spark):
     tasks = spark.createDataFrame([("a", "Extract revenue and profit from the financial table"), ("b", "合同 条款 甲方"), ("c", "zzz"), ("d", None)], "task_id string, task string")
-    best = {r["task_id"]: r for r in profiles.profile_scores(tasks, profiles.profile_table(spark)).where("rank = 1").collect()}
+    best = {r["task_id"]: r for r in profiles.profile_scores(tasks).where("rank = 1").collect()}
     assert best["a"]["profile"] == "financial_report" and best["a"]["hits"] == 4 and best["b"]["profile"] == "standard_or_contract"
     assert best["c"]["score"] == 0.0 and best["c"]["profile"] != "general_document" and best["d"]["score"] == 0.0
-    own = profiles.profile_table(spark, {"recipe": ("Cooking", "zzz")})
-    assert profiles.profile_scores(tasks, own).where("rank = 1 and task_id = 'c'").first()["profile"] == "recipe"
+    assert profiles.profile_scores(tasks, {"recipe": ("Cooking", "zzz")}).where("rank = 1 and task_id = 'c'").first()["profile"] == "recipe"
 
 
 def test_intents(spark):

@@ -9,7 +9,7 @@ from docmill.functions import text as T
 from docmill.functions.rows import each
 from docmill.operators import blocks, documents, facts, keyvalues, quality, tables
 from docmill.queries import REGISTRY
-from docmill.session import table
+from docmill.session import spread, table
 
 query = REGISTRY.query
 
@@ -46,7 +46,7 @@ IN_NUMBER = "[0-9A-Za-z./年月日-]"
 
 
 def documents_of(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents")
+    return spread(table(spark, sf_dir, "documents"), "doc_id")
 
 
 @query("doc_lines", f"with {LINES} select doc_id, cast(line_no as integer) as line_no, line from lines")

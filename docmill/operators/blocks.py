@@ -39,7 +39,7 @@ def content_summary(blocks: DataFrame) -> DataFrame:
 # What opens a block of each kind, on a stripped line.
 BLOCK_HEADING = r"^#{1,6}(?U:\s)+\S"
 BLOCK_LIST = r"^(?:[-*+]|\d+[.)])(?U:\s)+\S"
-BLOCK_SEPARATOR = r"^\|?(?U:\s)*:?-{3,}:?(?U:\s)*(?:\|(?U:\s)*:?-{3,}:?(?U:\s)*)+\|?$"
+BLOCK_SEPARATOR = r"^\|?(?U:\s)*:?-{3,}:?(?U:\s)*(?:\|(?U:\s)*:?-{3,}:?(?U:\s)*)++\|?$"
 BLOCK_HTML = r"(?i)<table(?:\s|>|$)"
 
 

@@ -133,7 +133,7 @@ def memory_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "long_document_report",
     """
-    select case_id, count(*) as ranges, count_if(status = 'completed') as completed, count_if(status = 'failed') as failed,
+    select case_id, count(*) as ranges, count_if(status = 'completed')::bigint as completed, count_if(status = 'failed')::bigint as failed,
       round(count_if(status = 'completed') / count(*), 4) as success_rate, cast(coalesce(sum(retrieval_chunks), 0) as bigint) as chunks, round(sum(elapsed_seconds), 3) as seconds
     from long_document_risk_report group by case_id
     """,

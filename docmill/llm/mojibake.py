@@ -96,12 +96,27 @@ def suspicion() -> tuple[re.Pattern, ...]:
 def suspicious(text: str) -> bool:
     """Whether text may hold something to repair or to report."""
     pair, run, *own, every = suspicion()
-    if any(x in text for x in LOST):
+    if any(x in text for x in LOST) or "&#" in text and REFERENCES.search(text):
         return True
     found = pair.search(text) or run.search(text)
     return bool(found and every.search(text)) or any(p.search(text) for p in own)
 
 
+#: Wrongly decoded characters that were then written as numeric character references, two or more in a row.
+REFERENCES = re.compile(r"(?:&#(?:\d{3,6}|[xX][0-9a-fA-F]{2,5});){2,}")
+REFERENCE = re.compile(r"&#(?:(\d{3,6})|[xX]([0-9a-fA-F]{2,5}));")
+
+
+def without_references(text: str) -> str:
+    """text with the characters that runs of numeric references stand for."""
+
+    def char(found: re.Match) -> str:
+        code = int(found.group(1)) if found.group(1) else int(found.group(2), 16)
+        return chr(code) if 128 <= code < 0x110000 and not 0xD800 <= code < 0xE000 else found.group()
+
+    return REFERENCES.sub(lambda run: REFERENCE.sub(char, run.group()), text)
+
+
 @cache
 def weight(char: str) -> int:
     """Garbling cost of one character."""
@@ -226,9 +241,18 @@ def undo_all(text: str) -> list[tuple[str, str]]:
 
 
 def repair(text: str | None) -> tuple[str | None, list[str]]:
-    """(text restored as far as possible, what was undone, outermost first)."""
+    """(text restored as far as possible, what was undone, outermost first).
+
+    Runs of numeric character references are resolved only where what they stand for is itself to be repaired.
+    """
     undone: list[str] = []
-    if not text or text.isascii():
+    if not text:
+        return text, undone
+    if "&#" in text and (plain := without_references(text)) != text:
+        new, by = repair(plain)
+        if by:
+            return new, ["references", *by]
+    if text.isascii():
         return text, undone
     for _ in range(LAYERS):
         least, best = cost(text), None
@@ -247,10 +271,10 @@ def garbled_texts(df: DataFrame, keys: list[str], text_col: str) -> DataFrame:
 
     repaired is the text as far as it can be restored; lost tells whether characters are gone for good. ASCII
     texts are passed over in the JVM, and of the others only those that match one compiled pattern are worked on;
-    nothing is shuffled. Null, empty and plain ASCII texts aren't found; every copy of a repeated row is; other columns aren't read.
+    nothing is shuffled. Null, empty and plain ASCII texts without character references aren't found; every copy of a repeated row is; other columns aren't read.
     """
     text = F.col(text_col).cast("string")
-    src = df.select(*keys, text.alias("text")).where(text.isNotNull() & text.rlike(r"[^\x00-\x7f]"))
+    src = df.select(*keys, text.alias("text")).where(text.isNotNull() & (text.rlike(r"[^\x00-\x7f]") | text.contains("&#")))
     fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in src.schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -42,6 +42,12 @@ def test_layers_and_parts():
     assert repair(f"{GERMAN} {garble(FRENCH, 'mac_roman')} {garble(FRENCH, 'cp1252')}")[0] == f"{GERMAN} {FRENCH} {FRENCH}"
 
 
+def test_references_to_garbled_characters():
+    bad = "".join(f"&#{ord(c)};" if c > "\x7f" else c for c in garble(FRENCH, "cp1252"))
+    assert bad.isascii() and suspicious(bad) and repair(bad) == (FRENCH, ["references", "cp1252"])
+    assert repair("caf&#233; &#8364;&#8364; &amp; &#49;&#50;&#51;") == ("caf&#233; &#8364;&#8364; &amp; &#49;&#50;&#51;", [])
+
+
 def test_legacy_bytes_read_as_western():
     assert repair(RUSSIAN.encode("cp1251").decode("cp1252"))[0] == RUSSIAN
     assert repair("采购订单超过库存上限".encode("gbk").decode("latin-1"))[0] == "采购订单超过库存上限"

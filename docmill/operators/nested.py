@@ -208,6 +208,35 @@ def leaves(value: object) -> Iterator[str]:
             yield item if isinstance(item, str) else str(item)
 
 
+def scrubbed(value: object, clean) -> object:
+    """A parsed JSON value with clean applied to every text in it; keys, numbers and flags stay."""
+    if isinstance(value, dict):
+        return {k: scrubbed(v, clean) for k, v in value.items()}
+    if isinstance(value, list):
+        return [scrubbed(v, clean) for v in value]
+    return clean(value) if isinstance(value, str) else value
+
+
+def scrub_json(df: DataFrame, key: str, json_col: str, clean) -> DataFrame:
+    """(key, json): each JSON value with clean, a function from text to text, applied to its texts; null where it can't
+    be read."""
+    src = df.select(F.col(key).alias("id"), F.col(json_col).cast("string").alias("json"))
+
+    def text_of(value: str | None) -> str | None:
+        try:
+            return None if value is None else json.dumps(scrubbed(json.loads(value), clean), ensure_ascii=False)
+        except (ValueError, RecursionError):
+            return None
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = pa.array([text_of(v) for v in batch.column(1).to_pylist()], pa.string())
+            yield pa.RecordBatch.from_arrays([batch.column(0), texts], ["id", "json"])
+
+    kind = src.schema["id"].dataType.simpleString()
+    return src.mapInArrow(run, f"id {kind}, json string").withColumnRenamed("id", key)
+
+
 def leaf_texts(df: DataFrame, key: str, json_col: str) -> DataFrame:
     """(key, leaf_text): all leaves of each JSON value joined by spaces; null where it can't be read.
 

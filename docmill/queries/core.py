@@ -223,7 +223,7 @@ def doc_scalars(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("doc_clean_text")
 def doc_clean_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return documents_of(spark, sf_dir).select("doc_id", T.clean_recovered_text(F.coalesce("text", F.lit(""))).alias("clean"))
+    return documents.recovered_texts(documents_of(spark, sf_dir)).withColumnRenamed("text", "clean")
 
 
 @query(

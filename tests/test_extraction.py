@@ -175,3 +175,9 @@ def test_empty_tables(spark):
     none = frame(spark, "x").limit(0)
     for found in (documents.lines(none), documents.sections(none), tables.tables(none), keyvalues.key_values(none), facts.numeric_facts(none), facts.dates(none), blocks.text_chunks(none), blocks.text_blocks(none)):
         assert found.collect() == []
+
+
+def test_recovered_texts(spark):
+    docs = frame(spark, "cafe\u0301 aaaaaa", None, "plain")
+    got = {r["doc_id"]: r["text"] for r in documents.recovered_texts(docs).collect()}
+    assert got == {0: "caf\u00e9 aa", 1: "", 2: "plain"}

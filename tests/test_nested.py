@@ -68,3 +68,9 @@ def test_leaves(spark):
     df = spark.createDataFrame([(1, value), (2, '"x"'), (3, ""), (4, None), (5, "[" * 5000 + "]" * 5000), (6, '["' + "x" * 200000 + '"]')], "id int, v string")
     got = {r["id"]: r["leaf_text"] for r in nested.leaf_texts(df, "id", "v").collect()}
     assert got[1] == 'a "b" é 1 -2.5 True y: ' and got[2] == "x" and got[3] is None and got[4] is None and got[5] in (None, "") and len(got[6]) == 200000
+
+
+def test_scrubbing(spark):
+    df = spark.createDataFrame([(1, '{"a": ["x /root/y", 2, {"b": "/root/z"}], "/root/k": null}'), (2, "{"), (3, None)], "id int, v string")
+    got = {r["id"]: r["json"] for r in nested.scrub_json(df, "id", "v", lambda t: t.replace("/root/", "")).collect()}
+    assert got == {1: '{"a": ["x y", 2, {"b": "z"}], "/root/k": null}', 2: None, 3: None}

@@ -205,14 +205,20 @@ SCALE_FLOOR = {"words": 5.0, "mean_word_length": 0.5}
 
 
 def stat_sketches(stats: DataFrame) -> DataFrame:
-    """(lang, rows, and a mergeable quantile sketch of each statistic): a row per language and one, `*`, for all.
+    """(lang, rows, prose_rows, and a mergeable quantile sketch of each statistic): a row per language and one, `*`, for all.
 
-    Sketches are built before the shuffle and merged after it, a few kB each however many rows a language has.
+    The share of sentences is sketched over the rows that hold one, prose_rows of them, so that a value is compared
+    with prose however common tables and lists are; null where there is none. Sketches are built before the shuffle
+    and merged after it, a few kB each however many rows a language has.
     """
-    sketches = [F.kll_sketch_agg_double(F.col(s).cast("double")).alias(s) for s in STATS]
-    own = stats.where("words > 0").groupBy("lang").agg(F.count("*").alias("rows"), *sketches)
+    held = lambda s: F.when(F.col("sentences") > 0, F.col(s)) if s == "sentence_share" else F.col(s)
+    any_prose = lambda s, sketch: F.when(F.col("prose_rows") > 0, sketch) if s == "sentence_share" else sketch
+    own = stats.where("words > 0").groupBy("lang").agg(
+        F.count("*").alias("rows"), F.count_if(F.col("sentences") > 0).alias("prose_rows"), *[F.kll_sketch_agg_double(held(s).cast("double")).alias(s) for s in STATS]
+    )
     merged = [F.kll_merge_agg_double(F.col(s)).alias(s) for s in STATS]
-    return own.unionByName(own.groupBy(F.lit("*").alias("lang")).agg(F.sum("rows").alias("rows"), *merged))
+    every = own.unionByName(own.groupBy(F.lit("*").alias("lang")).agg(F.sum("rows").alias("rows"), F.sum("prose_rows").alias("prose_rows"), *merged))
+    return every.withColumns({s: any_prose(s, F.col(s)) for s in STATS})
 
 
 #: Ranks at which the sketches are read.
@@ -239,7 +245,8 @@ def _rank(stat: str, grid: Column) -> Column:
 
 def with_tails(stats: DataFrame, sketches: DataFrame) -> DataFrame:
     """stats with <stat>_rank (how much of the language's rows lies at or below the value, to the step of GRID) and
-    <stat>_z (robust z-score within the language), and sentence_share_z_all within all rows.
+    <stat>_z (robust z-score within the language), and sentence_share_z_all within all languages; those of
+    sentence_share are among the rows that hold a sentence.
 
     What is read off the sketches is broadcast: a row for each language of COMMON_WORDS, `und` and `*`, whatever the data.
     """
@@ -251,14 +258,12 @@ def with_tails(stats: DataFrame, sketches: DataFrame) -> DataFrame:
     return joined.withColumns(ranks | scores).drop("own", "whole")
 
 
-#: Robust z-scores at or below this are the lower tail.
-TAIL = -3.0
-
-
 def quality_stats(df: DataFrame, key: str, text_col: str, *also: str) -> DataFrame:
-    """document_stats with ranks, z-scores and `tail`: whether the text holds no sentence at all while its share of
-    sentences lies in the lower tail of its language, or of all rows where its language is mostly such texts."""
+    """document_stats with ranks, z-scores and `tail`: whether the text holds no sentence at all, so that its share of
+    sentences lies below every rank of its language's rows that hold one.
+
+    Neither how many rows hold none nor how widely the others vary changes what is in the tail.
+    """
     stats = cut_lineage(document_stats(df, key, text_col, *also))
     scored = with_tails(stats, stat_sketches(stats))
-    low = F.least("sentence_share_z", "sentence_share_z_all") <= TAIL
-    return scored.withColumn("tail", F.coalesce((F.col("sentences") == 0) & low, F.lit(False)))
+    return scored.withColumn("tail", (F.col("sentences") == 0) & (F.col("sentence_share_rank") == 0))

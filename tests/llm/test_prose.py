@@ -50,6 +50,20 @@ def test_tails(spark):
     assert got[200]["words"] == got[201]["words"] == got[202]["words"] == 0 and len(got) == len(rows)
 
 
+@pytest.mark.parametrize("lists", [20, 45, 200])
+def test_tails_do_not_depend_on_how_common_lists_are(spark, lists):
+    prose_texts = ["The reviewer noted that the balance was right. It is on the page that we have read.", "1. item\n2. item\n3. The reviewer noted that the balance was right."]
+    rows = [(i, prose_texts[i % 2]) for i in range(90)] + [(1000 + i, "1. the deposit\n2. the claim\n3. the audit") for i in range(lists)]
+    got = prose.quality_stats(spark.createDataFrame(rows, "row_id bigint, chunk_text string"), "row_id", "chunk_text").where("tail").collect()
+    assert {r["row_id"] for r in got} == {1000 + i for i in range(lists)}
+
+
+def test_tails_where_no_row_is_prose(spark):
+    rows = [(1, "1. the deposit\n2. the claim"), (2, "1. der Antrag\n2. die Frist"), (3, "** ** **")]
+    got = prose.quality_stats(spark.createDataFrame(rows, "row_id bigint, chunk_text string"), "row_id", "chunk_text").where("tail").collect()
+    assert {r["row_id"] for r in got} == {1, 2, 3}
+
+
 def test_sketches_merge_to_the_quantiles(spark):
     df = spark.range(2000).selectExpr("id as row_id", "concat_ws(' ', transform(sequence(1, cast(id % 100 as int) + 1), x -> 'the')) as chunk_text").repartition(7)
     stats = prose.with_tails(s := prose.document_stats(df, "row_id", "chunk_text"), prose.stat_sketches(s))

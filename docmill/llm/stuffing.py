@@ -10,6 +10,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
+from itertools import chain
 
 import pyarrow as pa
 import xxhash
@@ -22,7 +23,7 @@ from docmill.session import cut_lineage
 #: Words of a phrase shingle, and hosts that must hold a phrase for it to count as replicated.
 SHINGLE = 5
 HOSTS = 3
-#: Occurrences in a page from which on a pair of words (or ideographs) counts as repeated.
+#: Occurrences in a page from which on a pair of words (or ideographs), or a keyword of one word, counts as repeated.
 REPEATED = 3
 LINK = re.compile(r"(?:https?://|www\.)[^\s\"'<>)\]|]+|</?(?:a|li|ul|ol|p|div)\b[^>]*>", re.I)
 HASHTAG = re.compile(r"#\w+")
@@ -58,8 +59,8 @@ def _tells(segment: str) -> bool:
     return common > 0 and common * 16 >= len(words)
 
 
-def parts_of(text: str) -> tuple[int, list[str]]:
-    """(characters in sentences, the lines outside them)."""
+def parts_of(text: str) -> tuple[int, list[list[str]]]:
+    """(characters in sentences, the runs of consecutive lines outside them). Blank lines don't part a run."""
     inside, others, at = 0, [], 0
     for end in SENTENCE_END.finditer(text):
         if end.group().startswith("...."):
@@ -71,11 +72,11 @@ def parts_of(text: str) -> tuple[int, list[str]]:
             start = before  # the line before is long enough to have been wrapped
         if _tells(text[start:stop]):
             if start > at:
-                others += text[at:start].split("\n")
+                others.append(text[at:start].split("\n"))
             inside += _solid(text[start:stop])
             at = stop
-    others += text[at:].split("\n")
-    return inside, [x for x in others if x and not x.isspace()]
+    others.append(text[at:].split("\n"))
+    return inside, [kept for run in others if (kept := [x for x in run if x and not x.isspace()])]
 
 
 def _tag_items(line: str) -> bool:
@@ -83,36 +84,65 @@ def _tag_items(line: str) -> bool:
     return len(items) >= 6 and sum(bool(ATTRIBUTE.match(x)) for x in items) * 5 >= len(items) and len(line) < 40 * len(items)
 
 
+def _singles(line: str, words: list[str]) -> bool:
+    """Whether a line may be of keywords of one word each: it is one word, or many, and no row of a table."""
+    return (len(words) == 1 or len(words) >= 6) and "|" not in line
+
+
+def _often_alone(runs: list[list[str]], parted: list[list[list[str]]]) -> set[str]:
+    """Words, not ideographs or function words, that lines of single keywords repeat."""
+    counts: Counter = Counter()
+    for run, lines in zip(runs, parted):
+        for line, words in zip(run, lines):
+            if _singles(line, words):
+                counts.update(words)
+    return {w for w, n in counts.items() if n >= REPEATED and w not in _FUNCTION and w[0] < "㐀" and not w[0].isdigit()}
+
+
 def page_evidence(text: str) -> tuple[list[float], set[int]]:
     """(shares of list lines, links, tags and repeated phrases in the page's characters, hashes of the shingles of the
-    words outside sentences that aren't figures)."""
+    words outside sentences that aren't figures).
+
+    Shingles and repeated pairs run on over the line breaks between two sentences, so that keywords, link titles and
+    tags of a word or two a line make phrases too."""
     text = readable(text)
-    inside, others = parts_of(text)
-    sizes = list(map(_solid, others))
-    body = sum(sizes)
-    lines = [WORD.findall((LINK.sub(" ", x) if "www." in x or "://" in x or "</" in x else x).lower()) for x in others]
-    pairs = Counter(p for words in lines for p in zip(words, words[1:]))
+    inside, runs = parts_of(text)
+    parted = [[WORD.findall((LINK.sub(" ", x) if "www." in x or "://" in x or "</" in x else x).lower()) for x in run] for run in runs]
+    joined = [list(chain.from_iterable(lines)) for lines in parted]
+    pairs: Counter = Counter()
+    for words in joined:
+        pairs.update(zip(words, words[1:]))
     often = {p for p, n in pairs.items() if n >= REPEATED and not (p[0][0].isdigit() or p[1][0].isdigit())}
+    single = _often_alone(runs, parted)
+    body = 0
     links = tags = repeated = 0.0
     shingles: set[int] = set()
-    for line, words, size in zip(others, lines, sizes):
+    for run, lines, words in zip(runs, parted, joined):
         named = [w for w in words if not w[0].isdigit()]
         for i in range(len(named) - SHINGLE + 1):
             shingles.add(xxhash.xxh3_64_intdigest(" ".join(named[i : i + SHINGLE])))
-        if ("www." in line or "://" in line or "</" in line) and LINK.search(line):
-            links += size
-        elif "#" in line and sum(map(len, HASHTAG.findall(line))) * 2 > size or ";" in line and _tag_items(line):
-            tags += size
-        elif words and often:
-            held = [False] * len(words)
+        held = [False] * len(words)
+        if often:
             for i, p in enumerate(zip(words, words[1:])):
                 if p in often:
                     held[i] = held[i + 1] = True
-            share = sum(len(w) for w, h in zip(words, held) if h) / sum(map(len, words))
-            if share and PRICE.search(line):
+        first = 0
+        for line, own in zip(run, lines):
+            size, here = _solid(line), held[first : first + len(own)]
+            first += len(own)
+            body += size
+            if ("www." in line or "://" in line or "</" in line) and LINK.search(line):
+                links += size
+            elif "#" in line and sum(map(len, HASHTAG.findall(line))) * 2 > size or ";" in line and _tag_items(line):
                 tags += size
-            else:
-                repeated += share * size
+            elif own:
+                if single and _singles(line, own) and len([w for w in own if w in single]) >= 0.9 * len(own):
+                    here = [True] * len(own)
+                share = sum(len(w) for w, h in zip(own, here) if h) / sum(map(len, own))
+                if share and PRICE.search(line):
+                    tags += size
+                else:
+                    repeated += share * size
     total = max(1, body + inside)
     return [body / total, links / total, tags / total, repeated / total], shingles
 

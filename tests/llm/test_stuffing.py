@@ -45,6 +45,28 @@ def test_replicated_phrases_count_distinct_hosts(spark):
     assert got[0] == 1.0 and got[10] == 0.0
 
 
+KEYWORDS = "Steuerberater Lohnabrechnung Buchhaltung Betriebsprüfung Jahresabschluss Umsatzsteuer Finanzamt Gewerbesteuer".split()
+
+
+@pytest.mark.parametrize("text", ["Steuerberatungsgesellschaft\n" * 100, "\n".join(KEYWORDS[i * i % 8 - i % 3] for i in range(40)), ", ".join(KEYWORDS[i * i % 8 - i % 3] for i in range(40))])
+def test_repeated_keywords_of_one_word(spark, text):
+    assert [r["spam"] for r in stuffing.page_spam(frame(spark, [(1, text, "https://a.example")]), "doc_id").collect()] == [True]
+
+
+def test_phrases_run_on_over_line_breaks():
+    words = [f"keyword{chr(97 + i)}" for i in range(9)]
+    one, many = stuffing.page_evidence(" ".join(words))[1], stuffing.page_evidence("\n\n".join(words))[1]
+    assert one == many and len(many) == 5
+    parted = stuffing.page_evidence("\n".join(words[:4]) + "\n\n" + SENTENCE + "\n\n" + "\n".join(words[4:8]))[1]
+    assert parted == set()
+
+
+def test_tables_and_forms_that_repeat_a_word_are_pages(spark):
+    texts = ["Pump A\nPump B\nPump C\nPump D", "| open | 1 |\n| open | 2 |\n| closed | 3 |\n| open | 4 |", "- the deposit\n- the claim\n- the audit\n- the scan"]
+    rows = [(i, t, "https://a.example") for i, t in enumerate(texts)]
+    assert not any(r["spam"] for r in stuffing.page_spam(frame(spark, rows), "doc_id").collect())
+
+
 def test_an_empty_table(spark):
     assert stuffing.page_spam(frame(spark, []), "doc_id").collect() == []
 

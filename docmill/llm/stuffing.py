@@ -10,6 +10,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
+from heapq import nsmallest
 from itertools import chain
 
 import pyarrow as pa
@@ -148,7 +149,7 @@ def page_evidence(text: str) -> tuple[list[float], set[int]]:
 
 
 def pages(df: DataFrame, key: str, text_col: str, url_col: str) -> DataFrame:
-    """(id, host, list_share, link_share, tag_share, repeat_share, phrases ARRAY<BIGINT>) of every page that isn't blank."""
+    """(id, host, list_share, link_share, tag_share, repeat_share, phrases ARRAY<BIGINT>, content) of every page that isn't blank; content is a hash of the four least phrases."""
     host = F.coalesce(F.lower(F.regexp_extract(F.col(url_col), r"^[A-Za-z][\w+.-]*://([^/?#:]+)", 1)), F.lit(""))
     src = df.select(F.col(key).alias("id"), F.xxhash64(host).alias("host"), F.col(text_col).cast("string").alias("text"))
 
@@ -160,31 +161,40 @@ def pages(df: DataFrame, key: str, text_col: str, url_col: str) -> DataFrame:
             own = batch.select(["id", "host"]).take(pa.array(kept, pa.int32()))
             shares = [pa.array([f[0][k] for f in found], pa.float64()) for k in range(4)]
             phrases = pa.array([[x - (1 << 63) for x in f[1]] for f in found], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([*own.columns, *shares, phrases], ["id", "host", "list_share", "link_share", "tag_share", "repeat_share", "phrases"])
+            content = pa.array([xxhash.xxh3_64_intdigest(repr(nsmallest(4, f[1]))) - (1 << 63) for f in found], pa.int64())
+            names = ["id", "host", "list_share", "link_share", "tag_share", "repeat_share", "phrases", "content"]
+            yield pa.RecordBatch.from_arrays([*own.columns, *shares, phrases, content], names)
 
     kind = src.schema["id"].dataType.simpleString()
-    return src.where(F.col("text").isNotNull()).mapInArrow(run, f"id {kind}, host bigint, list_share double, link_share double, tag_share double, repeat_share double, phrases array<bigint>")
+    return src.where(F.col("text").isNotNull()).mapInArrow(run, f"id {kind}, host bigint, list_share double, link_share double, tag_share double, repeat_share double, phrases array<bigint>, content bigint")
 
 
 #: Least share of a page outside sentences, of its evidence, and of its replicated phrases where the evidence is thin.
 LIST_SHARE, EVIDENCE, THIN, REPLICATED = 0.6, 0.25, 0.15, 0.3
+#: Least share of a page's phrases on pages of other contents, and least number of them, from which on they decide alone.
+STITCHED, STITCHED_PHRASES = 0.8, 10
 
 
 def page_spam(df: DataFrame, key: str, text_col: str = "text", url_col: str = "url", hosts: int = HOSTS) -> DataFrame:
-    """(key, list_share, link_share, tag_share, repeat_share, replicated_share, spam) of every page that isn't blank.
-
-    replicated_share is the share of a page's phrases found on at least `hosts` hosts. Phrases are counted over all
-    pages: once per page where they are made, then per host before they are shuffled by phrase, so that a phrase that
-    a third of all pages hold makes no more rows than there are hosts. Null, empty and blank texts give no row; copies
-    give a row each; a null url counts as one host; other columns aren't read.
+    """(key, list_share, link_share, tag_share, repeat_share, replicated_share, stitched_share, spam) of every page that isn't blank.
+
+    replicated_share is the share of a page's phrases found on at least `hosts` hosts, stitched_share of those found
+    besides on pages of at least `hosts` different contents. Copies of a page are one content, and so are most pages
+    that agree in nearly all phrases: a content is told by its four least phrase hashes, which two pages with a share J
+    of their phrases in common have alike with a probability of about J^4. Phrases are counted over all pages: once per page where they are made, then per host and
+    per content before they are shuffled by phrase, so that a phrase that a third of all pages hold makes no more
+    rows than there are hosts and contents. Null, empty and blank texts give no row; copies give a row each; a null
+    url counts as one host; other columns aren't read.
     """
     found = cut_lineage(pages(df, key, text_col, url_col))
-    held = found.select("id", "host", F.explode("phrases").alias("phrase"))
-    common = held.select("phrase", "host").distinct().groupBy("phrase").count().where(F.col("count") >= hosts).select("phrase")
-    replicated = held.select("id", "phrase").join(common, "phrase", "left_semi").groupBy("id").agg(F.count("*").alias("n"))
+    held = found.select("id", "host", "content", F.explode("phrases").alias("phrase"))
+    counts = held.groupBy("phrase").agg(F.count_distinct("host").alias("hosts"), F.count_distinct("content").alias("contents"))
+    common = counts.where(F.col("hosts") >= hosts).select("phrase", (F.col("contents") >= hosts).alias("stitched"))
+    replicated = held.select("id", "phrase").join(common, "phrase").groupBy("id").agg(F.count("*").alias("n"), F.count_if("stitched").alias("s"))
     joined = found.join(replicated, "id", "left")
-    share = F.coalesce(F.col("n"), F.lit(0)) / F.greatest(F.size("phrases"), F.lit(1))
+    share = lambda n: F.coalesce(F.col(n), F.lit(0)) / F.greatest(F.size("phrases"), F.lit(1))
     evidence = F.col("link_share") + F.col("tag_share") + F.col("repeat_share")
-    spam = (F.col("list_share") >= LIST_SHARE) & ((evidence >= EVIDENCE) | (evidence >= THIN) & (F.col("replicated_share") >= REPLICATED))
-    cols = ["list_share", "link_share", "tag_share", "repeat_share", "replicated_share"]
-    return joined.withColumn("replicated_share", share).select(F.col("id").alias(key), *cols, spam.alias("spam"))
+    own = (evidence >= EVIDENCE) | (evidence >= THIN) & (F.col("replicated_share") >= REPLICATED)
+    spam = (F.col("list_share") >= LIST_SHARE) & (own | (F.col("stitched_share") >= STITCHED) & (F.coalesce(F.col("s"), F.lit(0)) >= STITCHED_PHRASES))
+    cols = ["list_share", "link_share", "tag_share", "repeat_share", "replicated_share", "stitched_share"]
+    return joined.withColumns({"replicated_share": share("n"), "stitched_share": share("s")}).select(F.col("id").alias(key), *cols, spam.alias("spam"))

@@ -1,3 +1,5 @@
+from itertools import combinations
+
 import pytest
 
 from docmill.llm import stuffing
@@ -67,6 +69,16 @@ def test_tables_and_forms_that_repeat_a_word_are_pages(spark):
     assert not any(r["spam"] for r in stuffing.page_spam(frame(spark, rows), "doc_id").collect())
 
 
+def test_stitched_pages_are_flagged_and_mirrored_ones_not(spark):
+    blocks = [[f"{a}{b} {a}maker{b}" for b in "abcdefghijklmnopqrst"] for a in ("stamp", "ledger", "label", "tax", "scan", "form")]
+    stitched = [(i, "\n".join(k for block in three for k in block), f"https://h{i}.example/a") for i, three in enumerate(combinations(blocks, 3))]
+    table = "| Item | 2026 |\n| --- | --- |\n" + "\n".join(f"| {x}clause {y}part | 4{i} |" for i, (x, y) in enumerate(zip("abcdefghijkl", "mnopqrstuvwx")))
+    mirrored = [(100 + i, table, f"https://h{i}.example/b") for i in range(8)]
+    got = {r["doc_id"]: r for r in stuffing.page_spam(frame(spark, stitched + mirrored), "doc_id").collect()}
+    assert all(got[i]["spam"] and got[i]["repeat_share"] < 0.15 for i, *_ in stitched)
+    assert not any(got[i]["spam"] or got[i]["stitched_share"] for i, *_ in mirrored) and got[100]["replicated_share"] == 1.0
+
+
 def test_an_empty_table(spark):
     assert stuffing.page_spam(frame(spark, []), "doc_id").collect() == []
 

@@ -22,13 +22,18 @@ DOUBLE_BYTE = "gb18030"
 #: Legacy texts wrongly read as Western ones: the encoding they are in.
 READ_AS_WESTERN = ("cp1251", "gb18030")
 LAYERS = 4
-#: The replacement character, and what is left of it after UTF-8 was read as GBK.
-LOST = ("�", "锟斤拷")
-#: UTF-8 sequences of characters that texts hold, as (lead bytes, next bytes, ...) in ranges; the wide ones aren't looked
-#: for under Cyrillic encodings, where ordinary words would do.
-NARROW_SEQUENCES = ("\xc2|\x80-\xbf", "\xc3|\x80-\xbf", "\xd0|\x81\x90-\xbf", "\xd1|\x80-\x8f\x91", "\xe2|\x80-\x8b|\x80-\xbf")
-WIDE_SEQUENCES = ("\xc4-\xc5|\x80-\xbf", "\xcb|\x80-\xbf", "\xce-\xcf|\x80-\xbf", "\xe3|\x80-\x83|\x80-\xbf", "\xe4-\xe9|\x80-\xbf|\x80-\xbf", "\xef|\xbb-\xbd|\x80-\xbf", "\xf0|\x9f|\x80-\xbf|\x80-\xbf")
-
+#: The replacement character, what is left of it after UTF-8 was read as GBK, and how its UTF-8 looks when
+#: read with an encoding of one byte.
+LOST = ("�", "锟斤拷", *sorted({b"\xef\xbf\xbd".decode(e) for e in SINGLE_BYTE}))
+#: UTF-8 sequences (lead bytes, next bytes, ...) in ranges: all valid ones of three and four bytes, and those of two bytes
+#: that stand alone in texts; other scripts of two bytes (MANY) are looked for three in a row, as one letter and a quotation
+#: mark look the same. The wide ones aren't looked for under Cyrillic encodings.
+NARROW_SEQUENCES = ("\xc2|\x80-\xbf", "\xc3|\x80-\xbf", "\xd0|\x81\x90-\xbf", "\xd1|\x80-\x8f\x91", "\xe2|\x80-\xbf|\x80-\xbf")
+WIDE_SEQUENCES = (
+    "\xc4-\xc5|\x80-\xbf", "\xcb|\x80-\xbf", "\xce-\xcf|\x80-\xbf", "\xe0|\xa0-\xbf|\x80-\xbf", "\xe1|\x80-\xbf|\x80-\xbf", "\xe3-\xec|\x80-\xbf|\x80-\xbf",
+    "\xed|\x80-\x9f|\x80-\xbf", "\xee-\xef|\x80-\xbf|\x80-\xbf", "\xf0|\x90-\xbf|\x80-\xbf|\x80-\xbf", "\xf1-\xf3|\x80-\xbf|\x80-\xbf|\x80-\xbf", "\xf4|\x80-\x8f|\x80-\xbf|\x80-\xbf",
+)
+MANY = ("\xc6-\xca\xcc-\xcd\xd2-\xdf|\x80-\xbf",)
 
 def _ranged(spec: str) -> list[int]:
     """Byte values of a character class such as a-cx."""
@@ -36,7 +41,7 @@ def _ranged(spec: str) -> list[int]:
 
 
 LEADS = {b for spec in NARROW_SEQUENCES for b in _ranged(spec.split("|")[0])}
-WIDE_LEADS = {b for spec in WIDE_SEQUENCES for b in _ranged(spec.split("|")[0])}
+WIDE_LEADS = {b for spec in WIDE_SEQUENCES + MANY for b in _ranged(spec.split("|")[0])}
 #: Signs and punctuation that ordinary texts hold outside ASCII.
 ORDINARY = set("–—‘’‚“”„…•€°§«»·¿¡ºª№´×±²³¼½¾′″　、。〈〉《》「」『』【】〔〕・ー～→←↑↓≤≥≠√∞∂∫∑−™©®£¥℃‰")
 _UTF8_BYTES = re.compile(rb"(?:[\xc2-\xdf][\x80-\xbf]|[\xe1-\xec\xee\xef][\x80-\xbf]{2}|\xe0[\xa0-\xbf][\x80-\xbf]|\xed[\x80-\x9f][\x80-\xbf])+")
@@ -59,8 +64,12 @@ def byte_of(encoding: str) -> dict[str, int]:
 def garbled_pattern(encoding: str) -> str:
     """Regular expression of UTF-8 sequences as they look when read as encoding (one byte a character)."""
     char_of = {byte: re.escape(char) for char, byte in byte_of(encoding).items()}
-    specs = NARROW_SEQUENCES if encoding in CYRILLIC else NARROW_SEQUENCES + WIDE_SEQUENCES
-    return "|".join("".join("[" + "".join(char_of[b] for b in _ranged(part) if b in char_of) + "]" for part in spec.split("|")) for spec in specs)
+    def every(specs: tuple[str, ...]) -> str:
+        return "|".join("".join("[" + "".join(char_of[b] for b in _ranged(part) if b in char_of) + "]" for part in spec.split("|")) for spec in specs)
+
+    if encoding in CYRILLIC:
+        return f"{every(NARROW_SEQUENCES[:4])}|{every(('\xe2|\x80-\x8b|\x80-\xbf',))}|{re.escape(b'\xef\xbf\xbd'.decode(encoding))}"
+    return f"{every(NARROW_SEQUENCES + WIDE_SEQUENCES)}|(?:{every(MANY)}){{3,}}"
 
 
 @cache
@@ -173,6 +182,9 @@ def _undo_single(text: str, encoding: str) -> str:
         letters = any("а" <= c <= "я" for c in near)
         if cyrillic and (letters and fixed[0].isalpha() and len(fixed) < 3 or len(fixed) < 2 and not near.strip().isascii()):
             return stretch
+        after = text[found.end() : found.end() + 1]
+        if len(fixed) == 1 and ("\u0800" <= fixed < "\u2000" or "\u3400" <= fixed < "\u4dc0" or "\ua000" <= fixed < "\ue000" or "\u27c0" <= fixed < "\u2b00" or "\u2c00" <= fixed < "\u3000") and not (after.isascii() and after.isalpha()):
+            return stretch  # a letter before two signs, or part of a legacy text
         if any("一" <= c <= "龥" for c in fixed) and (len(fixed) < 2 or any("a" <= c <= "z" for c in near)):
             return stretch
         if all("\xa0" <= c <= "\xbf" and c not in ORDINARY for c in fixed):
@@ -221,9 +233,12 @@ def _undo_western(text: str, encoding: str) -> str:
     def right(found: re.Match) -> str:
         stretch = found.group()
         try:
-            fixed = bytes(table[c] for c in stretch).decode(encoding)
+            raw = bytes(table[c] for c in stretch)
+            fixed = raw.decode(encoding)
         except UnicodeDecodeError:
             return stretch
+        if LOST[1] in fixed or len(raw.decode("utf-8", "ignore").encode()) == len(raw) > 4:
+            return stretch  # it is UTF-8 from end to end
         letters = [c for c in fixed if "А" <= c <= "я" or c in "Ёё" or "一" <= c <= "龥"]
         return fixed if len(set(letters)) > 1 and len(letters) * 2 > len(fixed) and cost(fixed) < cost(stretch) else stretch
 
@@ -284,7 +299,7 @@ def garbled_texts(df: DataFrame, keys: list[str], text_col: str) -> DataFrame:
                 if not suspicious(body):
                     continue
                 new, by = repair(body)
-                gone = any(x in body for x in LOST)
+                gone = any(x in body or x in new for x in LOST)
                 if by or gone:
                     kept.append(i)
                     repaired.append(new)

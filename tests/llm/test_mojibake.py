@@ -61,6 +61,25 @@ def test_right_texts_stay(text):
     assert repair(text) == (text, [])
 
 
+@pytest.mark.parametrize("encoding", mojibake.SINGLE_BYTE)
+@pytest.mark.parametrize("text", ["donn�es", "les donn��es"])
+def test_misread_replacement_characters(encoding, text):
+    bad = garble(text, encoding)
+    assert suspicious(bad) and any(x in bad for x in mojibake.LOST) and "锟斤拷" not in repair(bad)[0]
+    assert encoding in mojibake.CYRILLIC or repair(bad)[0] == text
+
+
+@pytest.mark.parametrize("text", ["□ item", "✓ done ● open", "① first", "12 ㎡", "대한민국", "Tiếng Việt", "שלום"])
+def test_all_valid_sequences(text):
+    bad = garble(text, "cp1252")
+    assert suspicious(bad) and repair(bad)[0] == text
+
+
+@pytest.mark.parametrize("text", ["шалфей и шалфей", "дії її дії", "«voilà»… «está»… «irmã»… «né»…", "Он сказал: «да»… «и»…", "9,402,395Ôª¡£"])
+def test_words_before_signs_stay(text):
+    assert repair(text) == (text, [])
+
+
 def test_rows(spark):
     rows = [(1, garble(FRENCH, "cp1252"), "x"), (1, garble(FRENCH, "cp1252"), "x"), (2, None, "x"), (3, "", "x"), (4, FRENCH, "x"), (5, "lost � here", "x"), (6, "锟斤拷", "x"), (7, GERMAN * 2000, "x")]
     df = spark.createDataFrame(rows, "id bigint, text string, repaired string")

@@ -27,13 +27,14 @@ LAYERS = 4
 LOST = ("�", "锟斤拷", *sorted({b"\xef\xbf\xbd".decode(e) for e in SINGLE_BYTE}))
 #: UTF-8 sequences (lead bytes, next bytes, ...) in ranges: all valid ones of three and four bytes, and those of two bytes
 #: that stand alone in texts; other scripts of two bytes (MANY) are looked for three in a row, as one letter and a quotation
-#: mark look the same. The wide ones aren't looked for under Cyrillic encodings.
+#: mark look the same. Under Cyrillic encodings the wide ones are looked for two in a row.
 NARROW_SEQUENCES = ("\xc2|\x80-\xbf", "\xc3|\x80-\xbf", "\xd0|\x81\x90-\xbf", "\xd1|\x80-\x8f\x91", "\xe2|\x80-\xbf|\x80-\xbf")
 WIDE_SEQUENCES = (
     "\xc4-\xc5|\x80-\xbf", "\xcb|\x80-\xbf", "\xce-\xcf|\x80-\xbf", "\xe0|\xa0-\xbf|\x80-\xbf", "\xe1|\x80-\xbf|\x80-\xbf", "\xe3-\xec|\x80-\xbf|\x80-\xbf",
     "\xed|\x80-\x9f|\x80-\xbf", "\xee-\xef|\x80-\xbf|\x80-\xbf", "\xf0|\x90-\xbf|\x80-\xbf|\x80-\xbf", "\xf1-\xf3|\x80-\xbf|\x80-\xbf|\x80-\xbf", "\xf4|\x80-\x8f|\x80-\xbf|\x80-\xbf",
 )
 MANY = ("\xc6-\xca\xcc-\xcd\xd2-\xdf|\x80-\xbf",)
+CYRILLIC_WIDE = ("\xe3-\xec|\x80-\xbf|\x80-\xbf", "\xed|\x80-\x9f|\x80-\xbf", "\xef|\xbb-\xbf|\x80-\xbf", "\xf0|\x9f|\x80-\xbf|\x80-\xbf")
 
 def _ranged(spec: str) -> list[int]:
     """Byte values of a character class such as a-cx."""
@@ -68,7 +69,7 @@ def garbled_pattern(encoding: str) -> str:
         return "|".join("".join("[" + "".join(char_of[b] for b in _ranged(part) if b in char_of) + "]" for part in spec.split("|")) for spec in specs)
 
     if encoding in CYRILLIC:
-        return f"{every(NARROW_SEQUENCES[:4])}|{every(('\xe2|\x80-\x8b|\x80-\xbf',))}|{re.escape(b'\xef\xbf\xbd'.decode(encoding))}"
+        return f"{every(NARROW_SEQUENCES[:4])}|{every(('\xe2|\x80-\x8b|\x80-\xbf',))}|(?:{every(CYRILLIC_WIDE)}){{2,}}|{re.escape(b'\xef\xbf\xbd'.decode(encoding))}"
     return f"{every(NARROW_SEQUENCES + WIDE_SEQUENCES)}|(?:{every(MANY)}){{3,}}"
 
 
@@ -182,6 +183,8 @@ def _undo_single(text: str, encoding: str) -> str:
         letters = any("а" <= c <= "я" for c in near)
         if cyrillic and (letters and fixed[0].isalpha() and len(fixed) < 3 or len(fixed) < 2 and not near.strip().isascii()):
             return stretch
+        if cyrillic and any(c >= "\u3000" and c != "�" for c in fixed) and all(c.isalpha() for c in stretch) and (encoding != "cp866" or stretch.islower()):
+            return stretch  # a word
         after = text[found.end() : found.end() + 1]
         if len(fixed) == 1 and ("\u0800" <= fixed < "\u2000" or "\u3400" <= fixed < "\u4dc0" or "\ua000" <= fixed < "\ue000" or "\u27c0" <= fixed < "\u2b00" or "\u2c00" <= fixed < "\u3000") and not (after.isascii() and after.isalpha()):
             return stretch  # a letter before two signs, or part of a legacy text

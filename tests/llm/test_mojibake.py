@@ -75,6 +75,13 @@ def test_all_valid_sequences(text):
     assert suspicious(bad) and repair(bad)[0] == text
 
 
+@pytest.mark.parametrize("encoding", ["cp1251", "cp866"])
+@pytest.mark.parametrize("text", ["中文", CHINESE])
+def test_ideographs_read_as_cyrillic(encoding, text):
+    bad = garble(text, encoding)
+    assert suspicious(bad) and repair(bad)[0] == text
+
+
 @pytest.mark.parametrize("text", ["шалфей и шалфей", "дії її дії", "«voilà»… «está»… «irmã»… «né»…", "Он сказал: «да»… «и»…", "9,402,395Ôª¡£"])
 def test_words_before_signs_stay(text):
     assert repair(text) == (text, [])

@@ -28,11 +28,16 @@ def threshold_failures(report: DataFrame, least_success: float, most_p95: float)
     return report.withColumn("failures", F.array_join(F.filter(checks, lambda x: x.isNotNull()), ","))
 
 
-def run_status(steps: DataFrame) -> DataFrame:
-    """(record_id, steps, failed, status) of (record_id, status): inferred from a run's steps."""
+def run_status(runs: DataFrame, steps: DataFrame, id_col: str, status_col: str) -> DataFrame:
+    """(record_id, steps, failed, status) of every run: its own status, or else what its steps, (record_id, status), tell.
+
+    Runs without readable steps are unknown unless they have a status; repeated rows come out each.
+    """
     n = steps.groupBy("record_id").agg(F.count("*").alias("steps"), F.count_if(F.col("status") == "failed").alias("failed"), F.count_if(F.col("status") == "completed").alias("done"))
-    status = F.when(F.col("failed") > 0, "failed_inferred").when(F.col("done") == F.col("steps"), "completed_inferred").otherwise("unknown")
-    return n.select("record_id", "steps", "failed", status.alias("status"))
+    own = runs.select(F.col(id_col).alias("record_id"), F.when(F.col(status_col) != "", F.col(status_col)).alias("own"))
+    every = own.join(n, "record_id", "left").fillna(0, ["steps", "failed", "done"])
+    inferred = F.when(F.col("failed") > 0, "failed_inferred").when((F.col("steps") > 0) & (F.col("done") == F.col("steps")), "completed_inferred").otherwise("unknown")
+    return every.select("record_id", "steps", "failed", F.coalesce("own", inferred).alias("status"))
 
 
 def tool_report(calls: DataFrame) -> DataFrame:

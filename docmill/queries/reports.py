@@ -191,7 +191,8 @@ def chunk_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("trace_status")
 def trace_status(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return reports.run_status(nested.trace_steps(table(spark, sf_dir, "trace")))
+    trace = table(spark, sf_dir, "trace")
+    return reports.run_status(trace, nested.trace_steps(trace), "trace_id", "status")
 
 
 @query("trace_tools")

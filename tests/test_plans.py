@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from docmill.operators import search, tables
+from docmill.operators import nested, search, tables
 from docmill.plans import profiles, reports, view
 from docmill.streaming import events
 
@@ -118,3 +118,13 @@ def test_counts_and_groups(spark):
     assert {r["group"]: r["total_seconds"] for r in reports.group_summary(grouped, "s", "s").collect()} == {"A": 1.0, "B": 2.0, "other": 0.0}
     chunks = spark.createDataFrame([("f", "text", 1, [1, 2]), ("f", "table", 2, []), ("f", None, 5, None)], "file string, content_type string, page_no int, pages array<int>")
     assert tuple(reports.chunk_stats(chunks, "file").first()) == ("f", 3, "table=1,text=1,unknown=1", 3)
+
+
+def test_run_status_of_every_run(spark):
+    step = '{"steps": [{"status": "%s"}]}'
+    rows = [(1, "completed", step % "failed"), (2, None, step % "failed"), (3, None, step % "completed"), (4, None, "{}"), (5, "", "not json"), (6, "failed", None), (7, None, step % "running")]
+    trace = spark.createDataFrame(rows, "trace_id bigint, status string, payload string")
+    got = {r["record_id"]: (r["steps"], r["failed"], r["status"]) for r in reports.run_status(trace, nested.trace_steps(trace), "trace_id", "status").collect()}
+    assert got == {
+        1: (1, 1, "completed"), 2: (1, 1, "failed_inferred"), 3: (1, 0, "completed_inferred"), 4: (0, 0, "unknown"), 5: (0, 0, "unknown"), 6: (0, 0, "failed"), 7: (1, 0, "unknown"),
+    }

@@ -16,76 +16,90 @@ from pyspark.sql import functions as F
 
 from docmill.functions.rows import each_struct
 
-#: A whole number, however it is written: sign, digits, and a fraction or exponent that leaves it whole.
-WHOLE_NUMBER = r"^[+-]?\d+(\.0*)?$"
-DECIMAL_NUMBER = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
-OPEN_OBJECT = "map<string,string>"
-OPEN_LIST = "array<string>"
-
+#: A number as text: digits with a fraction, and one with an exponent.
+PLAIN_NUMBER = r"^[+-]?\d+(\.0*)?$"
+SCALED_NUMBER = r"^([+-]?)(\d*)\.?(\d*)[eE]([+-]?\d{1,9})$"
+#: Digits of the longest BIGINT.
+LONGEST_WHOLE = 19
+OPEN_OBJECT = "map<string,variant>"
+OPEN_LIST = "array<variant>"
 
 #: White space that JSON allows around a document, and the byte-order mark.
 AROUND = " \t\r\n\ufeff"
 
 
-def _unquoted(text: Column) -> Column:
-    """The text inside a JSON string that holds a document, or text itself, without what stands around it."""
-    bare = F.btrim(text, F.lit(AROUND))
-    held = F.get(F.from_json(F.concat(F.lit("["), bare, F.lit("]")), OPEN_LIST), F.lit(0))
-    return F.when(bare.startswith('"'), F.btrim(held, F.lit(AROUND))).otherwise(bare)
-
-
 def bind(value: Column, use) -> Column:
     """use(value) with value computed once: a lambda's variable is not computed again at each mention."""
     return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
-def whole_object(payload: Column) -> Column:
-    """The text of the JSON object in payload; null if there is none, or if it can't be read in full.
+def listed(text: Column) -> Column:
+    """VARIANT of a list of the JSON value in text and 0. As the parser stops after the first value, what follows the
+    value in text shows in the list, or as an error."""
+    return F.try_parse_json(F.concat(F.lit("["), F.btrim(text, F.lit(AROUND)), F.lit(",0]")))
 
-    A byte-order mark and a JSON string around the object are taken off. As the parser stops after the first value, the
-    text is read as the first item of a list of two: whatever follows the object then shows.
-    """
-    body = _unquoted(payload)
-    listed = F.try_parse_json(F.concat(F.lit("["), body, F.lit(",0]")))
-    alone = bind(listed, lambda v: (F.try_variant_get(v, "$[1]", "int") == 0) & F.try_variant_get(v, "$[2]", "string").isNull())
-    return F.when(body.startswith("{") & alone, body)
 
+def sole_value(pair: Column) -> Column:
+    """The value of a list made by listed; null if anything followed it."""
+    get = F.try_variant_get
+    return F.when((get(pair, "$[1]", "int") == 0) & get(pair, "$[2]", "string").isNull(), get(pair, "$[0]", "variant"))
 
-def unwrap(body: Column, wrapper: str) -> Column:
-    """The object under the key `wrapper`, if body has one, else body."""
-    inner = _unquoted(F.get_json_object(body, f"$.{wrapper}"))
-    return F.when(inner.startswith("{"), inner).otherwise(body)
 
+def text_of(value: Column) -> Column:
+    """Text of a VARIANT: a string as it is, anything else as JSON; null for null."""
+    return F.try_variant_get(value, "$", "string")
 
-def as_object(text: Column) -> Column:
-    """Fields of a JSON object (itself JSON or kept as text) as raw text by name; null for anything else."""
-    bare = _unquoted(text)
-    return F.when(bare.startswith("{"), F.from_json(bare, OPEN_OBJECT))
 
+def _held(value: Column) -> Column:
+    """The value that a VARIANT's text holds. Texts are rare, and so parsed at each mention rather than bound, which
+    would nest another lambda around everything."""
+    return sole_value(listed(text_of(value)))
 
-def as_list(text: Column) -> Column:
-    """Items of a JSON list as raw text (null items stay, so that positions hold); an object counts as a list of one."""
-    bare = _unquoted(text)
-    return (
-        F.when(bare.startswith("["), F.from_json(bare, OPEN_LIST))
-        .when(bare.startswith("{"), F.array(bare))
-        .otherwise(F.array().cast(OPEN_LIST))
-    )
 
+def as_object(value: Column) -> Column:
+    """Fields by name of a VARIANT that is an object, or text that holds one; null for anything else."""
+    fields = lambda v: F.try_variant_get(v, "$", OPEN_OBJECT)
+    return F.coalesce(fields(value), fields(_held(value)))
 
-def whole_number(text: Column) -> Column:
-    """BIGINT of a whole number written as 12, "12", 12.0 or 1.2e1; null for anything else."""
-    bare = F.trim(text)
-    plain = F.when(bare.rlike(WHOLE_NUMBER), F.regexp_replace(bare, r"\.0*$", "").try_cast("bigint"))
-    scaled = F.when(bare.rlike(DECIMAL_NUMBER), bare.try_cast("decimal(38,12)"))
-    return F.coalesce(plain, F.when(scaled == F.floor(scaled), scaled.try_cast("bigint")))
+
+def as_list(value: Column) -> Column:
+    """Items of a VARIANT that is a list (null items stay, so that positions hold); an object counts as a list of one,
+    and text as what it holds; empty for anything else."""
+    items = lambda v: F.try_variant_get(v, "$", OPEN_LIST)
+    fields = lambda v: F.try_variant_get(v, "$", OPEN_OBJECT)
+    one = F.when(fields(value).isNotNull() | fields(_held(value)).isNotNull(), F.array(value))
+    return F.coalesce(items(value), items(_held(value)), one, F.array().cast(OPEN_LIST))
 
 
 def field_of(obj: Column, name: str) -> Column:
     return F.try_element_at(obj, F.lit(name))
 
 
-NO_ROWS = "array<struct<parent:string,field:string,n:bigint>>"
+def whole_number(text: Column) -> Column:
+    """BIGINT of a whole number written as 12, 12.0 or 1.2e1; null for anything else, and for what BIGINT can't hold.
+
+    The digits decide, none is rounded off."""
+    bare = F.btrim(text, F.lit(AROUND))
+    plain = F.regexp_replace(bare, r"\.0*$", "").try_cast("bigint")
+    part = lambda i: F.regexp_extract(bare, SCALED_NUMBER, i)
+
+    def moved(p: Column) -> Column:
+        digits, point = p["digits"], p["point"]
+        before = F.when(point <= 0, F.lit("0")).otherwise(F.rpad(F.substring(digits, F.lit(1), point), point, F.lit("0")))
+        zero = F.rtrim(digits, F.lit("0")) == ""
+        after = F.when(point <= 0, digits).otherwise(F.substring(digits, point + 1, F.length(digits)))
+        fits = (point <= LONGEST_WHOLE) & (F.rtrim(after, F.lit("0")) == "")
+        return F.when(zero, F.lit(0)).when(fits, F.concat(part(1), before).try_cast("bigint"))
+
+    led = F.ltrim(part(2), F.lit("0"))
+    tail = F.when(led == "", F.ltrim(part(3), F.lit("0"))).otherwise(part(3))
+    lost = F.when(led == "", F.length(part(3)) - F.length(tail)).otherwise(0)
+    scaled = bind(F.struct(F.concat(led, tail).alias("digits"), (F.length(led) - lost + part(4).cast("int")).alias("point")), moved)
+    named = F.length(F.concat(part(2), part(3))) > 0
+    return F.when(bare.rlike(PLAIN_NUMBER), plain).when(bare.rlike(SCALED_NUMBER) & named, scaled)
+
+
+NO_ROWS = "array<struct<parent:string,field:string,count:string>>"
 
 
 def _none() -> Column:
@@ -93,16 +107,24 @@ def _none() -> Column:
 
 
 def _entries(holder: Column, place: Column, groups: Sequence[str]) -> Column:
-    """Entries (parent, field, n) of the named count objects inside holder, a map of raw texts."""
+    """Entries (parent, field, count as text) of the named count groups inside holder, an object's fields.
+
+    A group is an object of counts by name, or a list of objects with `name` and `count`; its place is its holder's
+    in either shape. An entry listed twice with one count is one."""
 
     def entries(group: str) -> Column:
-        def row(e: Column) -> Column:
-            return F.struct(place.alias("parent"), F.concat(F.lit(group + "."), e["key"]).alias("field"), whole_number(e["value"]).alias("n"))
+        def row(name: Column, count: Column) -> Column:
+            return F.struct(place.alias("parent"), F.concat(F.lit(group + "."), name).alias("field"), text_of(count).alias("count"))
+
+        def of(value: Column) -> Column:
+            named = F.transform(F.map_entries(as_object(value)), lambda e: row(e["key"], e["value"]))
+            items = F.filter(F.transform(as_list(value), as_object), lambda i: field_of(i, "name").isNotNull())
+            counted = F.array_distinct(F.transform(items, lambda i: row(text_of(field_of(i, "name")), field_of(i, "count"))))
+            return F.coalesce(named, counted, _none())
 
-        return F.coalesce(F.transform(F.map_entries(as_object(field_of(holder, group))), row), _none())
+        return of(field_of(holder, group))
 
-    per_group = [entries(g) for g in groups]
-    return F.filter(F.concat(*per_group), lambda x: x["n"].isNotNull())
+    return F.concat(*[entries(g) for g in groups])
 
 
 def _in_each(items: Column, prefix: Column, name: str, inner) -> Column:
@@ -112,16 +134,26 @@ def _in_each(items: Column, prefix: Column, name: str, inner) -> Column:
 
 
 def _records(df: DataFrame, id_col: str, payload_col: str, wrapper: str, list_name: str) -> DataFrame:
-    """(record_id, items): the raw items of a list of each record that can be read in full."""
-    body = df.select(F.col(id_col).alias("record_id"), whole_object(F.col(payload_col)).alias("body")).where("body is not null")
-    return body.select("record_id", bind(as_object(unwrap(F.col("body"), wrapper)), lambda r: as_list(field_of(r, list_name))).alias("items"))
+    """(record_id, items): the items of a list of each record that can be read in full."""
+    pairs = df.select(F.col(id_col).alias("record_id"), listed(F.col(payload_col).cast("string")).alias("pair"))
+    values = pairs.select("record_id", sole_value(F.col("pair")).alias("value"))
+    outer = values.select("record_id", as_object(F.col("value")).alias("outer"))
+    inner = outer.select("record_id", F.coalesce(as_object(field_of(F.col("outer"), wrapper)), "outer").alias("record"))
+    return inner.select("record_id", as_list(field_of(F.col("record"), list_name)).alias("items"))
+
+
+def _whole_rows(found: DataFrame, rows: Column) -> DataFrame:
+    """(record_id, parent, field, n): rows (parent, field, count as text) of each record whose count is a whole number."""
+    flat = each_struct(found, ["record_id"], rows, "field").where("count is not null")
+    return flat.select("record_id", "parent", "field", whole_number(F.col("count")).alias("n")).where("n is not null")
 
 
 def trace_counters(trace: DataFrame, id_col: str = "trace_id", payload_col: str = "payload") -> DataFrame:
     """(record_id, parent, field, n): a row for each whole-number counter of a step's or an attempt's detail.
 
-    Null, empty, cut-off and non-object payloads give no row; null list items keep their position; a record stored
-    twice gives its rows twice; fields that aren't there give no row; other columns aren't read.
+    Null, empty, cut-off and non-object payloads give no row, nor do objects that name a field twice; null list items
+    keep their position; a record stored twice gives its rows twice, and no row twice in itself; fields that aren't
+    there give no row; other columns aren't read.
     """
     groups = ("source_counts", "semantic_signal_counts")
 
@@ -138,7 +170,7 @@ def trace_counters(trace: DataFrame, id_col: str = "trace_id", payload_col: str
         )
 
     found = _records(trace, id_col, payload_col, "trace", "steps")
-    return each_struct(found, ["record_id"], _in_each(F.col("items"), F.lit(""), "steps", step_rows), "parent")
+    return _whole_rows(found, _in_each(F.col("items"), F.lit(""), "steps", step_rows))
 
 
 def report_scores(reports: DataFrame, id_col: str = "report_id", payload_col: str = "payload") -> DataFrame:
@@ -148,25 +180,21 @@ def report_scores(reports: DataFrame, id_col: str = "report_id", payload_col: st
     """
 
     def pair_rows(pair: Column, place: Column) -> Column:
-        rows = [
-            F.struct(
-                place.alias("parent"),
-                F.lit(f"{side}.quality_score").alias("field"),
-                whole_number(field_of(as_object(field_of(pair, side)), "quality_score")).alias("n"),
-            )
-            for side in ("baseline", "llm")
-        ]
-        return F.filter(F.array(*rows), lambda x: x["n"].isNotNull())
+        def score(side: str) -> Column:
+            value = text_of(field_of(as_object(field_of(pair, side)), "quality_score"))
+            return F.struct(place.alias("parent"), F.lit(f"{side}.quality_score").alias("field"), value.alias("count"))
+
+        return F.array(score("baseline"), score("llm"))
 
     found = _records(reports, id_col, payload_col, "llm_impact_report", "pairs")
-    return each_struct(found, ["record_id"], _in_each(F.col("items"), F.lit(""), "pairs", pair_rows), "parent")
+    return _whole_rows(found, _in_each(F.col("items"), F.lit(""), "pairs", pair_rows))
 
 
 def trace_steps(trace: DataFrame, id_col: str = "trace_id", payload_col: str = "payload") -> DataFrame:
     """(record_id, step_no, name, status, started_at, ended_at, n_attempts): the parent table of the counters."""
 
     def row(step: Column, i: Column) -> Column:
-        fields = [field_of(step, n).alias(n) for n in ("name", "status", "started_at", "ended_at")]
+        fields = [text_of(field_of(step, n)).alias(n) for n in ("name", "status", "started_at", "ended_at")]
         attempts = F.size(as_list(field_of(as_object(field_of(step, "detail")), "attempts"))).alias("n_attempts")
         return F.struct(i.alias("step_no"), *fields, attempts, step.isNotNull().alias("is_object"))
 
@@ -179,8 +207,8 @@ def tool_calls(trace: DataFrame, id_col: str = "trace_id", payload_col: str = "p
     """(record_id, call_no, tool, status, elapsed_seconds): one row for each object of tool_calls."""
 
     def row(call: Column, i: Column) -> Column:
-        seconds = field_of(call, "elapsed_seconds").try_cast("double").alias("elapsed_seconds")
-        return F.struct(i.alias("call_no"), field_of(call, "tool").alias("tool"), field_of(call, "status").alias("status"), seconds, call.isNotNull().alias("is_object"))
+        seconds = text_of(field_of(call, "elapsed_seconds")).try_cast("double").alias("elapsed_seconds")
+        return F.struct(i.alias("call_no"), text_of(field_of(call, "tool")).alias("tool"), text_of(field_of(call, "status")).alias("status"), seconds, call.isNotNull().alias("is_object"))
 
     calls = F.transform(F.transform(F.col("items"), as_object), row)
     found = _records(trace, id_col, payload_col, "trace", "tool_calls")
@@ -188,7 +216,8 @@ def tool_calls(trace: DataFrame, id_col: str = "trace_id", payload_col: str = "p
 
 
 def nested_counts(trace: DataFrame, reports: DataFrame) -> DataFrame:
-    """(tbl, record_id, parent, field, n) of both record tables."""
+    """(tbl, record_id, parent, field, n) of both record tables. Rows are distinct where ids are: a place names each list
+    item once, an object each field once, and listed entries are made distinct inside their record."""
     both = trace_counters(trace).withColumn("tbl", F.lit("trace")).unionByName(
         report_scores(reports).withColumn("tbl", F.lit("llm_impact_report"))
     )

@@ -13,7 +13,7 @@ query = REGISTRY.query
 
 @query("p1_found")
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return nested.nested_counts(table(spark, sf_dir, "trace"), table(spark, sf_dir, "llm_impact_report")).distinct()
+    return nested.nested_counts(table(spark, sf_dir, "trace"), table(spark, sf_dir, "llm_impact_report"))
 
 
 @query("p1_steps")

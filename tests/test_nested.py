@@ -31,6 +31,44 @@ def test_shapes_of_one_record_give_the_same_rows(spark, payload):
     assert rows(spark, [payload]) == {(0, *x) for x in PLAIN}
 
 
+LISTED = {"source_counts": [{"name": "html", "count": 3}, None, {"name": "ocr.retry", "count": "4"}, {"name": "html", "count": 3}, {"count": 9}, 7], "semantic_signal_counts": {"dates": 7, "a": 12}}
+
+
+@pytest.mark.parametrize(
+    "payload, place",
+    [
+        (json.dumps({"steps": [{"detail": LISTED}]}), "steps/0"),
+        (json.dumps({"steps": [{"detail": {"attempts": [{"detail": LISTED}]}}]}), "steps/0/attempts/0"),
+        (json.dumps({"trace": {"steps": [{"detail": LISTED}]}}), "steps/0"),
+        (json.dumps({"steps": [{"detail": json.dumps(LISTED)}]}), "steps/0"),
+        (json.dumps({"steps": [{"detail": LISTED | {"source_counts": json.dumps(LISTED["source_counts"])}}]}), "steps/0"),
+    ],
+)
+def test_counts_kept_as_a_list_have_their_holders_place(spark, payload, place):
+    df = spark.createDataFrame([(0, payload)], "trace_id bigint, payload string")
+    assert sorted(tuple(r) for r in nested.trace_counters(df).collect()) == sorted((0, place, *x[1:]) for x in PLAIN)
+
+
+@pytest.mark.parametrize(
+    "text, n",
+    [
+        ("12", 12), ("+12", 12), ("-12.000", -12), ("1.2e1", 12), ("120E-1", 12), ("0e5", 0), ("0.00e-3", 0), ("-0.5e1", -5), (".5e1", 5), ("0.05e2", 5), ("1.0e3", 1000),
+        ("9223372036854775807", 2**63 - 1), ("-9223372036854775808", -(2**63)), ("9223372036854775808", None), ("1e30", None), ("1e999999999", None),
+        ("123456789012345678901234567890", None), ("1.00000000000001", None), ("1.000000000000000000000000001", None), ("12.5", None), ("1.25e1", None), ("125e-1", None),
+        ("", None), (".", None), ("e5", None), (".e5", None), ("n/a", None), ("1 2", None), ("12\n", 12), ("1\n2", None), ("true", None), (" 7 ", 7), ("1.", 1), (None, None),
+    ],
+)
+def test_whole_numbers_however_written(spark, text, n):
+    df = spark.createDataFrame([(text,)], "t string")
+    assert df.select(nested.whole_number(df["t"])).first()[0] == n
+
+
+def test_numbers_in_json(spark):
+    payload = '{"steps": [{"detail": {"source_counts": {"a": 1.00000000000001, "b": 12.0, "c": 1.2e1, "d": 123456789012345678901234567890, "e": -3, "f": true, "g": {"x": 1}, "h": [1], "i": 1e2}}}]}'
+    df = spark.createDataFrame([(0, payload)], "trace_id bigint, payload string")
+    assert {(r["field"][-1], r["n"]) for r in nested.trace_counters(df).collect()} == {("b", 12), ("c", 12), ("e", -3), ("i", 100)}
+
+
 def test_places_count_null_items_and_attempts(spark):
     got = rows(spark, [json.dumps({"steps": [None, STEP, TRIED]})])
     assert (0, "steps/2/attempts/2", "source_counts.pdf", 0) in got

@@ -1,8 +1,8 @@
-"""Keyword-stuffed pages, link lists and product tags: phrases replicated on many hosts, joined with list density.
+"""Keyword-stuffed pages, link lists and product tags: phrases stuffed on many hosts, joined with list density.
 
-Each page is parted into sentences and the lines outside them. Of those lines the evidence is the share of links, of
-tags and of phrases the page repeats, and the phrase shingles that many hosts hold. Pages that are by far the larger
-part such lines are flagged.
+Each page is parted into sentences and the lines outside them. The phrases of those lines are exploded and counted by
+distinct hosts and contents; phrases that pages of several hosts repeat over and over, and seldom hold once, are
+stuffed ones. Pages that lie outside sentences for the larger part and are stitched of such phrases are flagged.
 """
 
 from __future__ import annotations
@@ -11,7 +11,6 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from heapq import nsmallest
-from itertools import chain
 
 import pyarrow as pa
 import xxhash
@@ -21,19 +20,32 @@ from pyspark.sql import functions as F
 from docmill.llm.prose import CJK, SENTENCE_END, WORD, common_sets, readable
 from docmill.session import cut_lineage
 
-#: Words of a phrase shingle, and hosts that must hold a phrase for it to count as replicated.
-SHINGLE = 5
-HOSTS = 3
-#: Occurrences in a page from which on a pair of words (or ideographs), or a keyword of one word, counts as repeated.
-REPEATED = 3
+#: Occurrences in a page from which on it repeats a phrase, and hosts and contents that must repeat it.
+REPEATED, HOSTS = 3, 3
+#: Least share of the contents that hold a phrase at all which repeat it.
+RATE = 0.4
+#: Least share of a page outside its sentences, and of stuffed phrases in it.
+LIST_SHARE, STUFFED = 0.6, 0.15
+#: Parts that a phrase's rows are split into for the join: a phrase may stand on a third of all pages.
+SALTS = 16
 LINK = re.compile(r"(?:https?://|www\.)[^\s\"'<>)\]|]+|</?(?:a|li|ul|ol|p|div)\b[^>]*>", re.I)
+#: An address with the tag it stands in, other tags, and signs before a hashtag.
+ADDRESS = re.compile(r"<[^<>]*(?:https?://|www\.)[^<>]*>|(?:https?://|www\.)[^\s\"'<>)\]|]+", re.I)
+TAG = re.compile(r"</?[a-zA-Z][^<>]*>")
+TAG_SIGN = re.compile(r"#(?=[^\W\d])")
+#: A row of a table, which tells something and is no list of keywords.
+TABLE_LINE = re.compile(r"\s*\|.*\|\s*$")
 HASHTAG = re.compile(r"#\w+")
-#: A price after a sign, dots or a bracket, or an article code between bars.
-PRICE = re.compile(r"(?:=|\.{3,}|\(|,|:|\|)\s*\d[\d,.]*[.,]\d\d\b|\b[A-Z]{2}-\d{2,6}\s*\|.*\||\d\s?(?:€|EUR|USD|\$|£)")
+#: What stands for an address, a code of letters and digits, and the sign of a hashtag in a page's words.
+ADDRESS_MARK, CODE_MARK, TAG_MARK = "\x01", "\x02", "\x03"
+MARKS = re.compile("[\x01-\x03]")
+MARKED_WORD = re.compile(f"[\x01\x03]|{WORD.pattern}")
+#: Words of a title between two addresses or two hashtags that make a template.
+TITLE = 8
+#: Kinds of phrases: templates, pairs of words, single words.
+TEMPLATE, PAIR, SINGLE = 0, 1, 2
 #: Ideographs set apart by spaces, as keywords are and sentences aren't.
 SPACED = re.compile(f"[{CJK}] +(?=[{CJK}])")
-#: What stands among tags besides keywords: codes, sizes, grades and weights.
-ATTRIBUTE = re.compile(r"^\s*(?:tags?:)?\s*(?:[A-Z]{2}-\d{2,6}|size \d+|[A-Z]{1,3}\d?|\d+ ?(?:g|mm|cm|kg|ml)|blue|red|green|black|white|matt|glossy)\s*$", re.I)
 #: A wrapped sentence goes on over a line break only after a line of at least so many characters.
 WRAP = 40
 _FUNCTION = frozenset(w for known in common_sets().values() for w in known if len(w) > 1 or w > "\x7f")
@@ -80,76 +92,89 @@ def parts_of(text: str) -> tuple[int, list[list[str]]]:
     return inside, [kept for run in others if (kept := [x for x in run if x and not x.isspace()])]
 
 
-def _tag_items(line: str) -> bool:
-    items = [x for x in re.split(r"[;,|]", line) if x.strip()]
-    return len(items) >= 6 and sum(bool(ATTRIBUTE.match(x)) for x in items) * 5 >= len(items) and len(line) < 40 * len(items)
-
-
-def _singles(line: str, words: list[str]) -> bool:
-    """Whether a line may be of keywords of one word each: it is one word, or many, and no row of a table."""
-    return (len(words) == 1 or len(words) >= 6) and "|" not in line
-
-
-def _often_alone(runs: list[list[str]], parted: list[list[list[str]]]) -> set[str]:
-    """Words, not ideographs or function words, that lines of single keywords repeat."""
-    counts: Counter = Counter()
-    for run, lines in zip(runs, parted):
-        for line, words in zip(run, lines):
-            if _singles(line, words):
-                counts.update(words)
-    return {w for w, n in counts.items() if n >= REPEATED and w not in _FUNCTION and w[0] < "㐀" and not w[0].isdigit()}
-
-
-def page_evidence(text: str) -> tuple[list[float], set[int]]:
-    """(shares of list lines, links, tags and repeated phrases in the page's characters, hashes of the shingles of the
-    words outside sentences that aren't figures).
-
-    Shingles and repeated pairs run on over the line breaks between two sentences, so that keywords, link titles and
-    tags of a word or two a line make phrases too."""
+def _masked(word: str) -> str:
+    """word without a number at its end; a code of letters and digits as its mark; nothing for a figure."""
+    if word.isalpha():
+        return word
+    if not any(map(str.isalpha, word)):
+        return ""
+    bare = word.rstrip("0123456789")
+    return CODE_MARK if bare != word and (bare[-1] == "-" or len(bare) < 4) or any(map(str.isdigit, bare)) else bare
+
+
+def masked_words(line: str) -> tuple[list[str], list[int]]:
+    """(words of a line with addresses, codes and hashtag signs as marks and figures left out, sizes of the addresses)."""
+    line = MARKS.sub(" ", line)
+    sizes: list[int] = []
+    if "://" in line or "www." in line.lower():
+        sizes = [len(x) for x in ADDRESS.findall(line)]
+        line = ADDRESS.sub(f" {ADDRESS_MARK} ", line)
+    if "<" in line:
+        line = TAG.sub(" ", line)
+    if "#" in line:
+        line = TAG_SIGN.sub(f" {TAG_MARK} ", line)
+    return [m for w in MARKED_WORD.findall(line.lower()) if (m := _masked(w) if w not in (ADDRESS_MARK, TAG_MARK) else w)], sizes
+
+
+def _templates(words: list[str], sizes: list[int], mark: str) -> tuple[int, int]:
+    """(times a mark follows a mark with a title of up to TITLE words between, characters from the one to the other)."""
+    n = chars = held = 0
+    last, lengths = None, iter(sizes)
+    for at, word in enumerate(words):
+        held += next(lengths, 0) if word == ADDRESS_MARK else 0 if word == TAG_MARK else len(word)
+        if word == mark:
+            if last is not None and at - last <= TITLE:
+                n, chars = n + 1, chars + held
+            last, held = at, 0
+    return n, chars
+
+
+def page_phrases(text: str) -> tuple[float, int, list[tuple[int, int, int, float]]]:
+    """(share of the page outside its sentences and rows of tables, characters of its words, its phrases outside sentences as (hash, kind,
+    times, characters)).
+
+    Phrases are pairs of words in a row, over line breaks but not over a sentence, single words that aren't function
+    words or ideographs, and templates: an address after an address or a hashtag after a hashtag, whatever their titles.
+    Numbers, codes and addresses are masked, so that what recurs but for them is one phrase.
+    """
     text = readable(text)
     inside, runs = parts_of(text)
-    parted = [[WORD.findall((LINK.sub(" ", x) if "www." in x or "://" in x or "</" in x else x).lower()) for x in run] for run in runs]
-    joined = [list(chain.from_iterable(lines)) for lines in parted]
+    body = size = 0
     pairs: Counter = Counter()
-    for words in joined:
-        pairs.update(zip(words, words[1:]))
-    often = {p for p, n in pairs.items() if n >= REPEATED and not (p[0][0].isdigit() or p[1][0].isdigit())}
-    single = _often_alone(runs, parted)
-    body = 0
-    links = tags = repeated = 0.0
-    shingles: set[int] = set()
-    for run, lines, words in zip(runs, parted, joined):
-        named = [w for w in words if not w[0].isdigit()]
-        for i in range(len(named) - SHINGLE + 1):
-            shingles.add(xxhash.xxh3_64_intdigest(" ".join(named[i : i + SHINGLE])))
-        held = [False] * len(words)
-        if often:
-            for i, p in enumerate(zip(words, words[1:])):
-                if p in often:
-                    held[i] = held[i + 1] = True
-        first = 0
-        for line, own in zip(run, lines):
-            size, here = _solid(line), held[first : first + len(own)]
-            first += len(own)
-            body += size
-            if ("www." in line or "://" in line or "</" in line) and LINK.search(line):
-                links += size
-            elif "#" in line and sum(map(len, HASHTAG.findall(line))) * 2 > size or ";" in line and _tag_items(line):
-                tags += size
-            elif own:
-                if single and _singles(line, own) and len([w for w in own if w in single]) >= 0.9 * len(own):
-                    here = [True] * len(own)
-                share = sum(len(w) for w, h in zip(own, here) if h) / sum(map(len, own))
-                if share and PRICE.search(line):
-                    tags += size
-                else:
-                    repeated += share * size
-    total = max(1, body + inside)
-    return [body / total, links / total, tags / total, repeated / total], shingles
+    singles: Counter = Counter()
+    templates: dict[str, list[int]] = {}
+    for run in runs:
+        words, sizes = [], []
+        for line in run:
+            if "|" in line and TABLE_LINE.match(line):
+                inside += _solid(line)
+                continue
+            body += _solid(line)
+            more, lengths = masked_words(line)
+            words += more
+            sizes += lengths
+        for mark in (ADDRESS_MARK, TAG_MARK):
+            if mark in words:
+                n, chars = _templates(words, sizes, mark)
+                before = templates.setdefault(mark, [0, 0])
+                before[0], before[1] = before[0] + n, before[1] + chars
+        plain = [w for w in words if w != TAG_MARK]
+        size += sum(map(len, plain)) + sum(sizes)
+        pairs.update(zip(plain, plain[1:]))
+        singles.update(plain)
+    found = [(mark, TEMPLATE, n, float(chars)) for mark, (n, chars) in templates.items() if n]
+    found += [(f"{a} {b}", PAIR, n, n * (len(a) + len(b)) / 2) for (a, b), n in pairs.items() if a != ADDRESS_MARK and b != ADDRESS_MARK]
+    found += [(w, SINGLE, n, float(n * len(w))) for w, n in singles.items() if w != ADDRESS_MARK and w < "㐀" and w not in _FUNCTION]
+    rows = [(xxhash.xxh3_64_intdigest(name) - (1 << 63), kind, n, chars) for name, kind, n, chars in found]
+    return body / max(1, body + inside), size + inside, rows
+
+
+PAGE_DDL = "list_share double, size bigint, content bigint, phrase array<bigint>, kind array<tinyint>, repeated array<boolean>, chars array<float>"
 
 
 def pages(df: DataFrame, key: str, text_col: str, url_col: str) -> DataFrame:
-    """(id, host, list_share, link_share, tag_share, repeat_share, phrases ARRAY<BIGINT>, content) of every page that isn't blank; content is a hash of the four least phrases."""
+    """(id, host, list_share, size, content, and of each phrase, in arrays, phrase, kind, repeated, chars) of every page
+    that isn't blank; content is a hash of the four least phrases."""
     host = F.coalesce(F.lower(F.regexp_extract(F.col(url_col), r"^[A-Za-z][\w+.-]*://([^/?#:]+)", 1)), F.lit(""))
     src = df.select(F.col(key).alias("id"), F.xxhash64(host).alias("host"), F.col(text_col).cast("string").alias("text"))
 
@@ -157,44 +182,59 @@ def pages(df: DataFrame, key: str, text_col: str, url_col: str) -> DataFrame:
         for batch in batches:
             texts = batch.column(2).to_pylist()
             kept = [i for i, x in enumerate(texts) if x and not x.isspace()]
-            found = [page_evidence(texts[i]) for i in kept]
+            found = [page_phrases(texts[i]) for i in kept]
             own = batch.select(["id", "host"]).take(pa.array(kept, pa.int32()))
-            shares = [pa.array([f[0][k] for f in found], pa.float64()) for k in range(4)]
-            phrases = pa.array([[x - (1 << 63) for x in f[1]] for f in found], pa.list_(pa.int64()))
-            content = pa.array([xxhash.xxh3_64_intdigest(repr(nsmallest(4, f[1]))) - (1 << 63) for f in found], pa.int64())
-            names = ["id", "host", "list_share", "link_share", "tag_share", "repeat_share", "phrases", "content"]
-            yield pa.RecordBatch.from_arrays([*own.columns, *shares, phrases, content], names)
+            flat = [row for f in found for row in f[2]]
+            ends = [0]
+            for f in found:
+                ends.append(ends[-1] + len(f[2]))
+            lists = lambda values, kind: pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(values, kind))
+            content = [xxhash.xxh3_64_intdigest(repr(nsmallest(4, [row[0] for row in f[2]]))) - (1 << 63) for f in found]
+            cols = [
+                pa.array([f[0] for f in found], pa.float64()), pa.array([f[1] for f in found], pa.int64()), pa.array(content, pa.int64()),
+                lists([r[0] for r in flat], pa.int64()), lists([r[1] for r in flat], pa.int8()),
+                lists([r[2] >= REPEATED for r in flat], pa.bool_()), lists([r[3] for r in flat], pa.float32()),
+            ]
+            yield pa.RecordBatch.from_arrays([*own.columns, *cols], ["id", "host", *(x.split()[0] for x in PAGE_DDL.split(", "))])
 
     kind = src.schema["id"].dataType.simpleString()
-    return src.where(F.col("text").isNotNull()).mapInArrow(run, f"id {kind}, host bigint, list_share double, link_share double, tag_share double, repeat_share double, phrases array<bigint>, content bigint")
-
+    return src.where(F.col("text").isNotNull()).mapInArrow(run, f"id {kind}, host bigint, {PAGE_DDL}")
 
-#: Least share of a page outside sentences, of its evidence, and of its replicated phrases where the evidence is thin.
-LIST_SHARE, EVIDENCE, THIN, REPLICATED = 0.6, 0.25, 0.15, 0.3
-#: Least share of a page's phrases on pages of other contents, and least number of them, from which on they decide alone.
-STITCHED, STITCHED_PHRASES = 0.8, 10
 
+def stuffed_phrases(found: DataFrame, hosts: int = HOSTS, rate: float = RATE) -> DataFrame:
+    """(id, kind, chars): the phrases of each page (of pages) that are stuffed ones.
 
-def page_spam(df: DataFrame, key: str, text_col: str = "text", url_col: str = "url", hosts: int = HOSTS) -> DataFrame:
-    """(key, list_share, link_share, tag_share, repeat_share, replicated_share, stitched_share, spam) of every page that isn't blank.
-
-    replicated_share is the share of a page's phrases found on at least `hosts` hosts, stitched_share of those found
-    besides on pages of at least `hosts` different contents. Copies of a page are one content, and so are most pages
-    that agree in nearly all phrases: a content is told by its four least phrase hashes, which two pages with a share J
-    of their phrases in common have alike with a probability of about J^4. Phrases are counted over all pages: once per page where they are made, then per host and
-    per content before they are shuffled by phrase, so that a phrase that a third of all pages hold makes no more
-    rows than there are hosts and contents. Null, empty and blank texts give no row; copies give a row each; a null
-    url counts as one host; other columns aren't read.
+    Those are repeated by pages of at least `hosts` hosts and as many contents, and by at least `rate` of the contents
+    that hold them at all. Copies of a page are one content, and so are most pages that agree in nearly all phrases: a
+    content is told by its four least phrase hashes, which two pages with a share J of their phrases in common have
+    alike with a probability of about J^4. Phrases are counted once a page where they are made, then once a host and
+    once a content before they meet by phrase, so that a phrase that a third of all pages hold makes no more rows there
+    than there are hosts and contents; where pages meet phrases, a phrase's rows are split by salt.
+    """
+    arrays = F.arrays_zip("phrase", "kind", "repeated", "chars")
+    held = found.select("id", "host", "content", F.inline(arrays))
+    on_hosts = held.where("repeated").groupBy("phrase").agg(F.count_distinct("host").alias("hosts")).where(F.col("hosts") >= hosts)
+    salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")
+    salted = held.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int"))
+    some = cut_lineage(salted.join(on_hosts.select("phrase", salts), ["phrase", "salt"]).select("phrase", "salt", "id", "content", "kind", "repeated", "chars"))
+    by_content = some.groupBy("phrase", "content").agg(F.bool_or("repeated").alias("repeated"))
+    rates = by_content.groupBy("phrase").agg(F.count("*").alias("contents"), F.count_if("repeated").alias("repeating"))
+    stuffed = rates.where((F.col("repeating") >= hosts) & (F.col("repeating") >= rate * F.col("contents"))).select("phrase", salts)
+    return some.join(stuffed, ["phrase", "salt"]).select("id", "kind", "chars")
+
+
+def page_spam(df: DataFrame, key: str, text_col: str = "text", url_col: str = "url", hosts: int = HOSTS, rate: float = RATE) -> DataFrame:
+    """(key, list_share, stuffed_share, spam) of every page that isn't blank.
+
+    list_share is the share of its characters outside sentences and rows of tables, stuffed_share that of its words in stuffed phrases
+    (see stuffed_phrases): of pairs and templates or of single words and templates, whichever is more. A page is spam
+    where the first is at least LIST_SHARE and the second at least STUFFED; neither decides without the other. Null,
+    empty and blank texts give no row; copies give a row each; a null url counts as one host; other columns aren't read.
     """
     found = cut_lineage(pages(df, key, text_col, url_col))
-    held = found.select("id", "host", "content", F.explode("phrases").alias("phrase"))
-    counts = held.groupBy("phrase").agg(F.count_distinct("host").alias("hosts"), F.count_distinct("content").alias("contents"))
-    common = counts.where(F.col("hosts") >= hosts).select("phrase", (F.col("contents") >= hosts).alias("stitched"))
-    replicated = held.select("id", "phrase").join(common, "phrase").groupBy("id").agg(F.count("*").alias("n"), F.count_if("stitched").alias("s"))
-    joined = found.join(replicated, "id", "left")
-    share = lambda n: F.coalesce(F.col(n), F.lit(0)) / F.greatest(F.size("phrases"), F.lit(1))
-    evidence = F.col("link_share") + F.col("tag_share") + F.col("repeat_share")
-    own = (evidence >= EVIDENCE) | (evidence >= THIN) & (F.col("replicated_share") >= REPLICATED)
-    spam = (F.col("list_share") >= LIST_SHARE) & (own | (F.col("stitched_share") >= STITCHED) & (F.coalesce(F.col("s"), F.lit(0)) >= STITCHED_PHRASES))
-    cols = ["list_share", "link_share", "tag_share", "repeat_share", "replicated_share", "stitched_share"]
-    return joined.withColumns({"replicated_share": share("n"), "stitched_share": share("s")}).select(F.col("id").alias(key), *cols, spam.alias("spam"))
+    of = lambda *kinds: F.coalesce(F.sum(F.when(F.col("kind").isin(*kinds), F.col("chars"))), F.lit(0.0))
+    covered = stuffed_phrases(found, hosts, rate).groupBy("id").agg(F.greatest(of(TEMPLATE, PAIR), of(TEMPLATE, SINGLE)).alias("covered"))
+    share = F.coalesce("covered", F.lit(0.0)) / F.greatest("size", F.lit(1))
+    joined = found.select("id", "list_share", "size").join(covered, "id", "left").withColumn("stuffed_share", share)
+    spam = (F.col("list_share") >= LIST_SHARE) & (F.col("stuffed_share") >= STUFFED)
+    return joined.select(F.col("id").alias(key), "list_share", "stuffed_share", spam.alias("spam"))

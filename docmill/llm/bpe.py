@@ -8,6 +8,7 @@ one whose pairing with the last token of the shorter prefix survives merging. Ba
 from __future__ import annotations
 
 import base64
+import hashlib
 from collections.abc import Iterable, Iterator
 
 import ahocorasick
@@ -165,21 +166,29 @@ class PrefixEncoder:
         return out
 
 
-_ENCODERS: dict[int, PrefixEncoder] = {}
+_ENCODERS: dict[str, PrefixEncoder] = {}
 
 
-def worker_encoder(shared) -> PrefixEncoder:
-    """The encoder of this Python worker, built once from the broadcast vocabulary."""
-    key = hash(tuple(sorted(shared.value.items())[:1])) ^ len(shared.value)
-    if key not in _ENCODERS:
+class SharedVocabulary:
+    """A broadcast vocabulary and the digest of its file, which names it in the Python workers."""
+
+    def __init__(self, spark: SparkSession, path: str) -> None:
+        with open(path, "rb") as file:
+            self.digest = hashlib.sha256(file.read()).hexdigest()
+        self.ranks = spark.sparkContext.broadcast(read_ranks(path))
+
+
+def worker_encoder(shared: SharedVocabulary) -> PrefixEncoder:
+    """The encoder of this Python worker, built once from the broadcast vocabulary; a worker keeps one."""
+    if shared.digest not in _ENCODERS:
         _ENCODERS.clear()
-        _ENCODERS[key] = PrefixEncoder(shared.value)
-    return _ENCODERS[key]
+        _ENCODERS[shared.digest] = PrefixEncoder(shared.ranks.value)
+    return _ENCODERS[shared.digest]
 
 
-def share_vocabulary(spark: SparkSession, path: str = DEFAULT_VOCABULARY):
+def share_vocabulary(spark: SparkSession, path: str = DEFAULT_VOCABULARY) -> SharedVocabulary:
     """Broadcast the vocabulary: a published file of some 50,000 tokens (about 1 MB) that doesn't grow with the data."""
-    return spark.sparkContext.broadcast(read_ranks(path))
+    return SharedVocabulary(spark, path)
 
 
 def encode_texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str = DEFAULT_VOCABULARY) -> DataFrame:

@@ -70,7 +70,7 @@ def text_classes(texts: DataFrame, keys: list[str]) -> DataFrame:
     look = mapped(F.col("text"))
     forms = forms.withColumn("look", F.collate(look, "UNICODE")).withColumn("controls", F.regexp_replace(look, CONTROLS, ""))
     alike = Window.partitionBy(*scope, "controls", "look")
-    best = F.max_by("text", F.struct(F.col("rows"), -F.length("text"), F.lit(0) - F.xxhash64("text") / 2)).over(alike)
+    best = F.min_by("text", F.struct(-F.col("rows"), F.length("text"), F.col("text"))).over(alike)
     return forms.select(*scope, "form", F.min("form").over(alike).alias("class_id"), best.alias("canonical"))
 
 

@@ -21,7 +21,6 @@ CYRILLIC = ("cp1251", "cp866")
 DOUBLE_BYTE = "gb18030"
 #: Legacy texts wrongly read as Western ones: the encoding they are in.
 READ_AS_WESTERN = ("cp1251", "gb18030")
-LAYERS = 4
 #: The replacement character, what is left of it after UTF-8 was read as GBK, and how its UTF-8 looks when
 #: read with an encoding of one byte.
 LOST = ("�", "锟斤拷", *sorted({b"\xef\xbf\xbd".decode(e) for e in SINGLE_BYTE}))
@@ -259,7 +258,7 @@ def undo_all(text: str) -> list[tuple[str, str]]:
 
 
 def repair(text: str | None) -> tuple[str | None, list[str]]:
-    """(text restored as far as possible, what was undone, outermost first).
+    """(text restored as far as possible, what was undone, outermost first), layer by layer while the cost falls.
 
     Runs of numeric character references are resolved only where what they stand for is itself to be repaired.
     """
@@ -272,7 +271,7 @@ def repair(text: str | None) -> tuple[str | None, list[str]]:
             return new, ["references", *by]
     if text.isascii():
         return text, undone
-    for _ in range(LAYERS):
+    while True:  # ends, as the cost falls each time
         least, best = cost(text), None
         for by, new in undo_all(text):
             if (now := cost(new)) < least:

@@ -220,13 +220,13 @@ class NearDuplicates:
         copies = a.join(b, F.col("a") == F.col("b")).where("x < y").select("x", "y", F.lit(1.0).alias("similarity"))
         return across.unionByName(copies).select(F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b"), "similarity")
 
-    def groups(self, most_rounds: int = 50) -> DataFrame:
+    def groups(self) -> DataFrame:
         """(id, rep, group_id): each row with its representative and the least id of all it is linked with, directly or
-        through others."""
+        through others. Labels fall each round, or the rounds end; chains halve."""
         links = cut_lineage(self.links.select("a", "b"))
         both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
         labels = cut_lineage(self.members.select(F.col("rep").alias("node"), F.col("rep").alias("label")).distinct())
-        for _ in range(most_rounds):
+        while True:
             near = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy("a").agg(F.min("label").alias("near"))
             spread = labels.join(near.withColumnRenamed("a", "node"), "node", "left").select("node", F.least("label", "near").alias("new"), "label")
             # a label is itself a node: follow it to where that node has come by now, which halves long chains
@@ -235,6 +235,4 @@ class NearDuplicates:
             labels, moved = new.select("node", F.col("now").alias("label")), new.where("now <> label").limit(1).count()
             if not moved:
                 break
-        else:
-            raise RuntimeError("groups didn't settle")
         return self.members.join(labels.withColumnRenamed("node", "rep"), "rep").select("id", "rep", F.col("label").alias("group_id"))

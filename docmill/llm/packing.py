@@ -18,8 +18,8 @@ CAPACITY = 2048
 #: Windows kept open in a task, and first-pass tasks whose leftovers one second-pass group takes: these bound memory.
 OPEN_WINDOWS = 128
 FAN_IN = 32
-#: A window with so many items (most of them without tokens) is emitted even if it has room.
-MOST_ITEMS = 4096
+#: Number, within its task, of the container of texts without tokens; it never fills, so they needn't be held until it does.
+EMPTY = 1 << 35
 #: Windows of the second pass are numbered from here on.
 SECOND_PASS = 1 << 62
 
@@ -48,7 +48,7 @@ class WindowPacker:
             self.items[window] = []
         held = self.items[window]
         held.append(item)
-        if free == size or len(held) >= MOST_ITEMS:
+        if free == size:
             out.append((window, self.items.pop(window)))
         else:
             insort(self.room, (free - size, window))
@@ -83,9 +83,9 @@ class _Out:
     def __init__(self, schema: pa.Schema) -> None:
         self.schema, self.cols = schema, [[] for _ in schema]
 
-    def window(self, number: int | None, items: list[tuple], spread: int) -> None:
+    def window(self, number: int | None, items: list[tuple], spread: int, slot_from: int = 0) -> None:
         used = sum(x[3] for x in items)
-        for slot, (key, piece, first, size) in enumerate(items):
+        for slot, (key, piece, first, size) in enumerate(items, slot_from):
             row = (key, piece, first, size, number, slot, used, spread)
             for col, value in zip(self.cols, row):
                 col.append(value)
@@ -103,7 +103,7 @@ def pack_texts(
     """(id, piece, first_token, n_tokens, container_id, slot, used): each text assigned to a container, whole unless
     it alone exceeds the capacity; then it is cut every `capacity` tokens, all pieces but the last filling a container.
 
-    Null and empty texts have no tokens and take a slot of size 0. Repeated rows are packed one by one. Other columns
+    Null and empty texts have no tokens and take a slot of size 0, in a container of their task's. Repeated rows are packed one by one. Other columns
     of df are not read. Texts are sized and packed in the tasks of the scan; only the rows of the assignment, a few
     numbers each, are shuffled, so that the leftovers of `fan_in` tasks (bounded by the open windows) are packed
     again together, largest first. The result is the same if a task is run again.
@@ -117,10 +117,14 @@ def pack_texts(
 
     def first_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, task = worker_encoder(shared), TaskContext.get().partitionId()
-        packer, out = WindowPacker(capacity, windows), None
+        packer, out, empty = WindowPacker(capacity, windows), None, 0
         for batch in batches:
             out = out or _Out(_rows(batch.schema.field(0).type))
             for key, size in zip(batch.column(0).to_pylist(), encoder.counts(batch.column(1).to_pylist())):
+                if not size:
+                    out.window((task << 36) + EMPTY, [(key, 0, 0, 0)], empty, empty)
+                    empty += 1
+                    continue
                 for piece, (first, n) in enumerate(cut_oversized(size, capacity)):
                     for number, items in packer.add((key, piece, first, n), n):
                         out.window((task << 36) + number, items, number)

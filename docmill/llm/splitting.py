@@ -124,17 +124,22 @@ def split_texts(df: DataFrame, key: str, text_col: str, *also: str, limit: int =
 
 
 MOST_PAGES = 20
+#: A number above this names no page, whatever stands beside it.
+LAST_PAGE = 999_999
 #: Pages named by a range: a number, and another after a dash of any kind, dots, a tilde or a word for `to`.
-RANGE = r"(?i)(\d{1,9})(?:\s*(?:[-‐-―−~～〜]|\.{2,3}|…|to|bis|à|a|до|至|到)\s*(?:p\.?\s*)?(\d{1,9}))?"
+RANGE = r"(?i)(\d+)(?:\s*(?:[-‐-―−~～〜]|\.{2,3}|…|to|bis|à|a|до|至|到)\s*(?:p\.?\s*)?(\d+))?"
 
 
 def page_spans(page_range: Column) -> Column:
-    """Sorted spans (first, last) of the pages a free-text range names, those that meet or overlap joined."""
+    """Sorted spans (first, last) of the pages a free-text range names, those that meet or overlap joined; a span with a
+    number above LAST_PAGE names none."""
+    # a number too long for BIGINT counts as one beyond LAST_PAGE
+    number = lambda x: F.coalesce(x.try_cast("bigint"), F.lit(LAST_PAGE + 1))
     digits = F.translate(page_range, "０１２３４５６７８９", "0123456789")
-    first = F.transform(F.regexp_extract_all(digits, F.lit(RANGE), F.lit(1)), lambda x: x.cast("bigint"))
-    last = F.transform(F.regexp_extract_all(digits, F.lit(RANGE), F.lit(2)), lambda x: F.nullif(x, F.lit("")).cast("bigint"))
+    first = F.transform(F.regexp_extract_all(digits, F.lit(RANGE), F.lit(1)), number)
+    last = F.transform(F.regexp_extract_all(digits, F.lit(RANGE), F.lit(2)), lambda x: F.when(x != "", number(x)))
     spans = F.zip_with(first, last, lambda a, b: F.struct(F.least(a, b).alias("first"), F.greatest(a, b).alias("last")))
-    ordered = F.array_sort(F.filter(spans, lambda s: s["last"] > 0))
+    ordered = F.array_sort(F.filter(spans, lambda s: s["last"].between(1, LAST_PAGE)))
     kind = "array<struct<first:bigint,last:bigint>>"
 
     def join(done: Column, s: Column) -> Column:

@@ -46,3 +46,17 @@ def test_every_row_is_encoded(spark):
     counts = sorted((r["doc_id"] or 0, r["n_tokens"]) for r in bpe.count_tokens(df).collect())
     assert counts == sorted((i or 0, len(REFERENCE.encode_ordinary(t or ""))) for i, t in rows)
     assert bpe.encode_texts(df.limit(0)).collect() == []
+
+
+def test_vocabularies_of_one_size_have_encoders_of_their_own(spark, tmp_path):
+    """A reused Python worker never encodes with the vocabulary of another job."""
+    import base64
+
+    ids = {}
+    for pair in (b"ab", b"cd"):
+        path = tmp_path / pair.decode()
+        tokens = [bytes([b]) for b in range(256)] + [pair]
+        path.write_text("".join(f"{base64.b64encode(t).decode()} {i}\n" for i, t in enumerate(tokens)))
+        df = spark.createDataFrame([(1, "abcd")], "doc_id bigint, text string").coalesce(1)
+        ids[pair] = bpe.encode_texts(df, vocabulary=str(path)).first()["ids"]
+    assert ids == {b"ab": [256, 99, 100], b"cd": [97, 98, 256]}

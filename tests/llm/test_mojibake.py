@@ -93,3 +93,10 @@ def test_rows(spark):
     got = sorted((r["id"], r["repaired"], r["lost"]) for r in mojibake.garbled_texts(df, ["id"], "text").collect())
     assert got == [(1, FRENCH, False), (1, FRENCH, False), (5, "lost � here", True), (6, "锟斤拷", True)]
     assert mojibake.garbled_texts(df.limit(0), ["id"], "text").collect() == []
+
+
+def test_any_number_of_layers():
+    text = garbled = "Prüfung der Größe"
+    for _ in range(6):
+        garbled = garbled.encode("utf-8").decode("latin-1")
+    assert mojibake.repair(garbled) == (text, ["latin-1"] * 6)

@@ -53,6 +53,14 @@ def test_whole_table(spark, capacity):
     assert len(pieces[1]) == 2  # a repeated row is packed twice
 
 
+def test_texts_without_tokens_fill_nothing(spark):
+    df = spark.range(30000).selectExpr("id as doc_id", "case when id % 3 = 0 then '' when id % 3 = 1 then null else 'word word' end as text").coalesce(2)
+    got = packing.pack_texts(df, capacity=64)
+    assert got.count() == 30000
+    empty = got.where("n_tokens = 0").groupBy("container_id").agg({"slot": "max", "used": "max", "doc_id": "count"}).collect()
+    assert len(empty) == 2 and all(r["max(used)"] == 0 and r["max(slot)"] == r["count(doc_id)"] - 1 for r in empty)
+
+
 def test_empty_table_and_bad_arguments(spark):
     df = spark.createDataFrame([], "doc_id bigint, text string")
     assert packing.pack_texts(df).collect() == []

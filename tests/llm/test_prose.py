@@ -36,7 +36,7 @@ def test_lists_tables_and_noise_hold_none(text):
 
 
 def test_figures():
-    lang, words, length, symbols, closed, common, share, n = prose.text_stats("The old cat sat.\nOn the mat, it was!")
+    lang, words, length, symbols, closed, common, strength, share, n = prose.text_stats("The old cat sat.\nOn the mat, it was!")
     assert (lang, words, n) == ("en", 9, 2) and closed == 1.0 and share == 1.0
     assert length == pytest.approx(25 / 9) and symbols == pytest.approx(3 / 28) and common == pytest.approx(5 / 9)
 
@@ -58,6 +58,20 @@ def test_tails_do_not_depend_on_how_common_lists_are(spark, lists):
     assert {r["row_id"] for r in got} == {1000 + i for i in range(lists)}
 
 
+def test_the_sketches_decide(spark):
+    """One and the same short line is prose where a language's sentences are short, and in the tail where they are long."""
+    line = "The audit is open."
+    short = [(i, f"The {w} is shut.") for i, w in enumerate(["door", "file", "case", "book"] * 20)]
+    long = [(i, f"The reviewer noted that the {w} was right and that it is on the page which we have read before the audit was done.") for i, w in enumerate(["door", "file"] * 40)]
+    tail_of = lambda rows: prose.quality_stats(spark.createDataFrame([*rows, (999, line)], "row_id bigint, chunk_text string"), "row_id", "chunk_text").where("row_id = 999").first()["tail"]
+    assert not tail_of(short) and tail_of(long)
+
+
+def test_full_stops_of_abbreviations_end_nothing():
+    whole = prose.text_stats("In the annex, the trace no. 86205 documents an amount of 33 that we have read.")
+    assert whole[-1] == 1
+
+
 def test_tails_where_no_row_is_prose(spark):
     rows = [(1, "1. the deposit\n2. the claim"), (2, "1. der Antrag\n2. die Frist"), (3, "** ** **")]
     got = prose.quality_stats(spark.createDataFrame(rows, "row_id bigint, chunk_text string"), "row_id", "chunk_text").where("tail").collect()

@@ -64,3 +64,9 @@ def test_ranges(spark):
     for r in sorted(got, key=lambda r: (r["range_id"], r["piece"])):
         parts.setdefault(r["range_id"], []).append((r["first_page"], r["last_page"]))
     assert parts == {1: [(1, 20), (20, 24)], 3: [(141, 144), (147, 166), (166, 170)], 5: [(41, 60), (60, 61)], 9: [(61, 80), (80, 81)], 10: [(1, 20), (20, 30)]}
+
+
+@pytest.mark.parametrize("text, spans", [("1-9999999999", []), ("1-99999999999999999999999", []), ("12345678901-3, 4-6", [(4, 6)]), ("999990-999999", [(999990, 999999)]), ("1-1000000", [])])
+def test_numbers_that_name_no_page(spark, text, spans):
+    df = spark.createDataFrame([(text,)], "r string")
+    assert [tuple(s) for s in df.select(splitting.page_spans(df["r"])).first()[0]] == spans

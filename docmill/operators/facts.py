@@ -10,14 +10,15 @@ from docmill.functions.patterns import ANOMALY_WORDS, DATE, NUMBER, RECOMMENDATI
 from docmill.functions.rows import each, each_struct
 from docmill.operators.documents import sections, with_lines
 
-#: Feature limits of the published result record: rows kept for each document, in order.
+#: Feature limits of the published result record: rows kept for each document, in order; most=None keeps all. LONGEST is
+#: the length of the quoted line; longest=None quotes it whole.
 MOST_FACTS, MOST_SIGNALS, MOST_REFERENCES, LONGEST = 500, 50, 100, 300
 
 
-def numeric_facts(df: DataFrame, key: str = "doc_id", text_col: str = "text", most: int | None = MOST_FACTS) -> DataFrame:
+def numeric_facts(df: DataFrame, key: str = "doc_id", text_col: str = "text", most: int | None = MOST_FACTS, longest: int | None = LONGEST) -> DataFrame:
     """(doc_id, line_no, text, numbers): lines that hold numbers, without tags, the first `most` of each document."""
     clean = F.transform("lines", lambda x: T.inline_text(F.regexp_replace(x, "<[^>]+>", " ")))
-    found = F.transform(F.col("clean"), lambda x, i: F.struct((i + 1).alias("line_no"), F.substring(x, 1, LONGEST).alias("text"), T.number_tokens(x).alias("numbers")))
+    found = F.transform(F.col("clean"), lambda x, i: F.struct((i + 1).alias("line_no"), (x if longest is None else F.substring(x, 1, longest)).alias("text"), T.number_tokens(x).alias("numbers")))
     kept = F.filter(found, lambda f: F.size(f["numbers"]) > 0)
     kept = kept if most is None else F.slice(kept, 1, most)
     numbered = with_lines(df, key, text_col).where(F.col("text").rlike(r"\d")).select("doc_id", clean.alias("clean"))
@@ -39,30 +40,31 @@ def holds_any(text: Column, words: tuple[str, ...]) -> Column:
     return out
 
 
-def signal_lines(df: DataFrame, key: str = "doc_id", text_col: str = "text", words: tuple[str, ...] = ANOMALY_WORDS, most: int | None = MOST_SIGNALS) -> DataFrame:
+def signal_lines(df: DataFrame, key: str = "doc_id", text_col: str = "text", words: tuple[str, ...] = ANOMALY_WORDS, most: int | None = MOST_SIGNALS, longest: int | None = LONGEST) -> DataFrame:
     """(doc_id, line_no, text): lines that hold one of the words in any case, the first `most` of each document."""
     flat = F.transform("lines", lambda x, i: F.struct((i + 1).alias("line_no"), T.strip(x).alias("full")))
     kept = F.filter(flat, lambda s: holds_any(F.lower(s["full"]), words))
     kept = kept if most is None else F.slice(kept, 1, most)
     hits = with_lines(df, key, text_col).where(holds_any(F.lower("text"), words))
     hits = each_struct(hits, ["doc_id"], kept, "line_no")
-    return hits.select("doc_id", "line_no", F.substring("full", 1, LONGEST).alias("text"))
+    return hits.select("doc_id", "line_no", (F.col("full") if longest is None else F.substring("full", 1, longest)).alias("text"))
 
 
-def recommendations(df: DataFrame, key_values: DataFrame, key: str = "doc_id", text_col: str = "text", most: int = MOST_SIGNALS) -> DataFrame:
+def recommendations(df: DataFrame, key_values: DataFrame, key: str = "doc_id", text_col: str = "text", most: int | None = MOST_SIGNALS) -> DataFrame:
     """(doc_id, rec_no, source, text): key-values whose key asks for action, then lines that do and aren't one of them."""
     named = key_values.where(holds_any(F.lower("key"), RECOMMENDATION_WORDS))
     named = named.select("doc_id", F.lit(0).alias("rank"), F.col("kv_index").alias("at"), F.lit("key_value").alias("source"), F.concat_ws(": ", "key", "value").alias("text"))
     lines = signal_lines(df, key, text_col, RECOMMENDATION_WORDS, None)
     fresh = lines.join(named.select("doc_id", "text").distinct(), ["doc_id", "text"], "left_anti")
     fresh = fresh.select("doc_id", F.lit(1).alias("rank"), F.col("line_no").alias("at"), F.lit("line").alias("source"), "text")
-    rows = F.slice(F.array_sort(F.collect_list(F.struct("rank", "at", "source", "text"))), 1, most)
+    rows = F.array_sort(F.collect_list(F.struct("rank", "at", "source", "text")))
+    rows = rows if most is None else F.slice(rows, 1, most)
     each_rec = named.unionByName(fresh).groupBy("doc_id").agg(rows.alias("rows"))
     each_row = each(each_rec, ["doc_id"], "rows")
     return each_row.select("doc_id", (F.col("pos") + 1).alias("rec_no"), "col.source", "col.text")
 
 
-def references(df: DataFrame, key: str = "doc_id", text_col: str = "text", most: int = MOST_REFERENCES) -> DataFrame:
+def references(df: DataFrame, key: str = "doc_id", text_col: str = "text", most: int | None = MOST_REFERENCES) -> DataFrame:
     """(doc_id, source_title, source_line, reference_text, target_page, target_hint, relation, confidence): references
     from section texts to pages, attachments and what stands above or below."""
     found = sections(df, key, text_col).select("doc_id", "section_no", "title", "line", T.inline_text(F.col("text")).alias("body"))
@@ -83,5 +85,6 @@ def references(df: DataFrame, key: str = "doc_id", text_col: str = "text", most:
         F.coalesce(F.nullif(F.col("hit.attachment"), F.lit("")), hint).alias("target_hint"), relation.alias("relation"),
         F.when(page.isNull() | (page == 0), 0.56).otherwise(0.78).alias("confidence"),
     )
-    kept = hits.groupBy("doc_id").agg(F.slice(F.array_sort(F.collect_list(row)), 1, most).alias("rows"))
+    rows = F.array_sort(F.collect_list(row))
+    kept = hits.groupBy("doc_id").agg((rows if most is None else F.slice(rows, 1, most)).alias("rows"))
     return each_struct(kept, ["doc_id"], "rows", "ref_no").drop("section_no", "ref_no")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from docmill.functions import text as T
 from docmill.functions.patterns import HEADING, KEY_HEADERS, LIST_PREFIX, NUMBER, TABLE_ROW, VALUE_HEADERS
@@ -11,7 +12,8 @@ from docmill.functions.rows import each, each_struct
 from docmill.operators.documents import with_lines
 from docmill.operators.tables import tables
 
-#: Feature limits: characters of a line, a key and a value, lines looked ahead, key-values kept for a document.
+#: Feature limits of the published result record, which say what a key-value is: characters of a line, a key, a value and a
+#: paragraph, lines looked ahead; and how many are kept for a document unless `most` says otherwise.
 LONGEST_LINE, LONGEST_KEY, LONGEST_VALUE, LONGEST_PARAGRAPH, AHEAD, MOST = 220, 60, 500, 180, 3, 250
 
 
@@ -101,15 +103,21 @@ def table_pairs(found: DataFrame) -> DataFrame:
     plain = (F.size(heads) == 2) & ~F.exists(heads, lambda h: h.rlike(NUMBER))
     rows = each(found, ["doc_id", "table_index"], F.when((F.col("column_count") == 2) & (known | plain), F.col("body")))
     key, value = F.get("col", F.lit(0)), F.get("col", F.lit(1))
-    pairs = rows.select("doc_id", (F.col("table_index") * 100_000 + F.col("pos")).alias("at"), key.alias("key"), value.alias("value"))
+    pairs = rows.select("doc_id", F.struct("table_index", F.col("pos").alias("row")).alias("at"), key.alias("key"), value.alias("value"))
     return pairs.where("key <> '' and value <> ''")
 
 
+def _place(source: int, pairs: DataFrame) -> Column:
+    """(source, table, row): where a pair of pairs was found, to be sorted by; table is 0 outside tables."""
+    table, row = ("at.table_index", "at.row") if isinstance(pairs.schema["at"].dataType, StructType) else (F.lit(0), "at")
+    return F.struct(F.lit(source).alias("source"), (F.col(table) if isinstance(table, str) else table).alias("table"), F.col(row).alias("row"))
+
+
 def key_values(df: DataFrame, key: str = "doc_id", text_col: str = "text", most: int | None = MOST) -> DataFrame:
     """(doc_id, kv_index, key, value): distinct key-values in order, those of lines first, then of tables, then of
     headings; the first `most` of each document. Null and blank texts have none."""
     sources = (line_pairs(df, key, text_col), table_pairs(tables(df, key, text_col)), heading_pairs(df, key, text_col))
-    ranked = [s.select("doc_id", F.struct(F.lit(i).alias("source"), "at").alias("place"), T.inline_text(F.col("key")).alias("key"), T.inline_text(F.col("value")).alias("value")) for i, s in enumerate(sources)]
+    ranked = [s.select("doc_id", _place(i, s).alias("place"), T.inline_text(F.col("key")).alias("key"), T.inline_text(F.col("value")).alias("value")) for i, s in enumerate(sources)]
     both = ranked[0].unionByName(ranked[1]).unionByName(ranked[2])
     fit = both.where(F.length("key").between(1, LONGEST_KEY) & F.length("value").between(1, LONGEST_VALUE))
     first = fit.groupBy("doc_id", "key", "value").agg(F.min("place").alias("place"))

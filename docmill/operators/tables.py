@@ -107,23 +107,29 @@ def total_checks(tables: DataFrame) -> DataFrame:
 
     The cell is held against the sum of the same column over all rows before that aren't total rows. With fewer than two
     numbers there it is `uncompared`; else `verified` within a millionth of it (0.01 at least, 1 at most) or `mismatch`.
-    Rows of a table are folded in place, without shuffle. Tables without total are left out inside the expression: a
-    filter on what was computed would be pushed below its projections and compute it all again.
+    Rows of a table are folded in place with running sums of its columns, without shuffle. Tables without total are left
+    out inside the expression: a filter on what was computed would be pushed below its projections and compute it all again.
     """
-    marked = F.transform("body", lambda r: F.struct(is_total(r).alias("total"), F.transform(r, T.cell_number).alias("numbers")))
-    rows = tables.select("doc_id", "table_index", F.when(F.exists("body", is_total), marked).alias("rows"))
-    totals = each(rows, ["doc_id", "table_index", "rows"], "rows", "row_index", "row").where("row.total")
-    cells = each(totals, ["doc_id", "table_index", "row_index", "rows"], "row.numbers", "column_index", "expected").where("expected is not null")
-    before = F.filter(F.slice("rows", F.lit(1), F.col("row_index")), lambda r: ~r["total"])
-    values = F.filter(F.transform(before, lambda r: F.get(r["numbers"], F.col("column_index"))), lambda v: v.isNotNull())
-    held = cells.select("doc_id", "table_index", "row_index", "column_index", "expected", values.alias("vals"))
-    computed = F.aggregate("vals", F.lit(0.0), lambda a, v: a + v)
-    tolerance = F.greatest(F.lit(0.01), F.least(F.lit(1.0), F.abs("expected") * 0.000001))
-    outcome = F.when(F.size("vals") < 2, "uncompared").when(F.abs(computed - F.col("expected")) <= tolerance, "verified").otherwise("mismatch")
-    return held.select(
-        "doc_id", "table_index", "row_index", "column_index", "expected", computed.alias("computed"),
-        F.size("vals").alias("value_count"), outcome.alias("outcome"),
-    )
+    marked = F.transform("body", lambda r, i: F.struct(i.alias("row_index"), is_total(r).alias("total"), F.transform(r, T.cell_number).alias("numbers")))
+    rows = tables.select("doc_id", "table_index", "column_count", F.when(F.exists("body", is_total), marked).alias("rows"))
+    sums, cells = "array<struct<sum:double,n:int>>", "array<struct<row_index:int,numbers:array<double>,sums:" + "array<struct<sum:double,n:int>>>>"
+    none = F.array_repeat(F.struct(F.lit(0.0).alias("sum"), F.lit(0).alias("n")), F.col("column_count")).cast(sums)
+    start = F.struct(none.alias("sums"), F.array().cast(cells).alias("totals"))
+
+    def step(s: Column, r: Column) -> Column:
+        grown = F.zip_with(s["sums"], r["numbers"], lambda t, v: F.struct((t["sum"] + F.coalesce(v, F.lit(0.0))).alias("sum"), (t["n"] + v.isNotNull().cast("int")).alias("n")))
+        total = F.struct(r["row_index"].alias("row_index"), r["numbers"].alias("numbers"), s["sums"].alias("sums"))
+        return F.when(r["total"], F.struct(s["sums"].alias("sums"), F.concat(s["totals"], F.array(total)).cast(cells).alias("totals"))).otherwise(
+            F.struct(grown.cast(sums).alias("sums"), s["totals"].alias("totals"))
+        )
+
+    totals = each(rows, ["doc_id", "table_index"], F.aggregate("rows", start, step, lambda s: s["totals"]), "at", "total")
+    held = each(totals, ["doc_id", "table_index", "total.row_index"], F.arrays_zip("total.numbers", "total.sums"), "column_index", "cell")
+    expected, computed, n = F.col("cell.numbers"), F.col("cell.sums.sum"), F.col("cell.sums.n")
+    tolerance = F.greatest(F.lit(0.01), F.least(F.lit(1.0), F.abs(expected) * 0.000001))
+    outcome = F.when(n < 2, "uncompared").when(F.abs(computed - expected) <= tolerance, "verified").otherwise("mismatch")
+    checks = held.select("doc_id", "table_index", "row_index", "column_index", expected.alias("expected"), computed.alias("computed"), n.alias("value_count"), outcome.alias("outcome"))
+    return checks.where("expected is not null")
 
 
 def total_issues(checks: DataFrame) -> DataFrame:

@@ -235,7 +235,7 @@ def profile_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 INTENT_SQL = " union all ".join(
-    f"select task_id, '{name}' as intent from t where {' or '.join(f'''contains(low, '{w}')''' for w in words.split())}" for name, words in profiles.INTENTS.items() if name != "comparison"
+    f"select task_id, '{name}' as intent from t where {' or '.join(f'''contains(low, '{w}')''' for w in words)}" for name, words in profiles.INTENTS.items() if name != "comparison"
 )
 
 
@@ -243,7 +243,7 @@ INTENT_SQL = " union all ".join(
     "task_intents",
     f"""
     with t as (select distinct md5(section_title) as task_id, lower(section_title) as low from retrieval_chunks where section_title is not null),
-    own as ({INTENT_SQL} union all select task_id, 'comparison' from t where {" or ".join(f"contains(low, '{w}')" for w in profiles.INTENTS["comparison"].split())}),
+    own as ({INTENT_SQL} union all select task_id, 'comparison' from t where {" or ".join(f"contains(low, '{w}')" for w in profiles.INTENTS["comparison"])}),
     more as (select * from own union select a.task_id, 'comparison' from own a join own b using (task_id) where a.intent = 'ranking' and b.intent = 'growth_analysis')
     select * from more union all select task_id, 'structured_extraction' from t where task_id not in (select task_id from own)
     """,

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -18,6 +20,7 @@ def local_session(cpus: int | str | None = None, app: str = "docmill", **conf: s
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.driver.memory", os.environ.get("BENCH_MEMORY", "8g"))
         .config("spark.sql.session.timeZone", "UTC")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
     )
@@ -29,25 +32,27 @@ def local_session(cpus: int | str | None = None, app: str = "docmill", **conf: s
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the cluster's spark.checkpoint.dir; only where it is unset (tests) fall back to a local folder."""
+    """Use the cluster's spark.checkpoint.dir. Where it is unset a local master gets a folder of its own, removed when the
+    process ends; on a cluster it must be set, as executors can't read a folder of the driver's machine."""
     if spark.sparkContext.getCheckpointDir() is not None:
         return
     configured = spark.conf.get("spark.checkpoint.dir", None)
-    spark.sparkContext.setCheckpointDir(configured or tempfile.mkdtemp(prefix="docmill-checkpoint-"))
+    if configured is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        configured = tempfile.mkdtemp(prefix="docmill-checkpoint-")
+        atexit.register(shutil.rmtree, configured, ignore_errors=True)
+    spark.sparkContext.setCheckpointDir(configured)
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write df to the reliable checkpoint folder and read it back, so that a lost executor costs no recompute."""
+    """Write df to the reliable checkpoint folder and read it back, so that a lost executor costs no recompute.
+
+    The files go with the last reference to them where spark.cleaner.referenceTracking.cleanCheckpoints is set, as
+    cluster jobs should; else they stay until the folder is emptied."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def spread(df: DataFrame, key: str) -> DataFrame:
-    """df over all cores, by key, if its scan makes less than half as many tasks: small files whose rows cost far more
-    than moving them. Scans of many files, which is what a large input is, stay as they are."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, key) if df.rdd.getNumPartitions() * 2 <= cores else df

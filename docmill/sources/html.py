@@ -129,39 +129,41 @@ def _span(cell: Node, name: str) -> int:
         return 1
 
 
-def table_grid(table: Node) -> tuple[list[list[str]], list[tuple[int, int, str, str]]]:
-    """(rows, header first, with spans spread over the cells they cover; (row, column, value, kind) of those cells)."""
-    rows, merged, header = [], [], None
-    down: dict[int, tuple[str, int]] = {}
-    for at, tr in enumerate(table.find_all({"tr"})):
-        row: list[str] = []
-
-        def carried() -> None:
-            while len(row) in down:
-                column = len(row)
-                value, left = down[column]
-                merged.append((at, column, value, "rowspan"))
-                row.append(value)
-                down[column] = (value, left - 1)
-                if left <= 1:
-                    del down[column]
+#: Columns a cell may span by the HTML standard; larger values count as 1, as browsers take them.
+MOST_COLUMNS = 1000
+
 
+def table_grid(table: Node) -> tuple[list[list[str]], list[tuple[int, int, str, str]]]:
+    """(rows, header first, with spans spread over the cells they cover; (row, column, value, kind) of those cells).
+
+    The standard's forming of tables: every cell takes the first free slots of its row, and claims the slots below that
+    its rowspan covers. Slots are kept as {(row, column): (value, kind)}; kind is null where the cell itself stands. A
+    claim that reaches beyond the last row ends there.
+    """
+    trs = table.find_all({"tr"})
+    slots: dict[tuple[int, int], tuple[str, str | None]] = {}
+    headed = []
+    for at, tr in enumerate(trs):
+        column = 0
         for cell in tr.find_all({"th", "td"}):
-            carried()
-            value, depth = inline(cell.text()), _span(cell, "rowspan")
-            for i in range(min(_span(cell, "colspan"), 1000)):
-                if i:
-                    merged.append((at, len(row), value, "colspan"))
-                if depth > 1:
-                    down[len(row)] = (value, depth - 1)
-                row.append(value)
-        carried()
-        if any(row):
-            if header is None and tr.find_all({"th"}):
-                header = len(rows)
-            rows.append(row)
-    width = max(map(len, rows), default=0)
-    return _header_first([[*r, *[""] * (width - len(r))] for r in rows], header), merged
+            while (at, column) in slots:
+                column += 1
+            value, wide = inline(cell.text()), _span(cell, "colspan")
+            wide = wide if wide <= MOST_COLUMNS else 1
+            for y in range(at, min(at + _span(cell, "rowspan"), len(trs))):
+                for x in range(column, column + wide):
+                    slots.setdefault((y, x), (value, "rowspan" if y > at else "colspan" if x > column else None))
+            column += wide
+        headed.append(bool(tr.find_all({"th"})))
+    widths = [0] * len(trs)
+    for y, x in slots:
+        widths[y] = max(widths[y], x + 1)
+    grid = [[slots.get((y, x), ("", None))[0] for x in range(widths[y])] for y in range(len(trs))]
+    merged = sorted((y, x, value, kind) for (y, x), (value, kind) in slots.items() if kind)
+    kept = [y for y, row in enumerate(grid) if any(row)]
+    header = next((i for i, y in enumerate(kept) if headed[y]), None)
+    width = max((widths[y] for y in kept), default=0)
+    return _header_first([[*grid[y], *[""] * (width - widths[y])] for y in kept], header), merged
 
 
 def html_blocks(html: str) -> list[tuple[str, str, int | None]]:

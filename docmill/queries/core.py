@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docmill.functions import text as T
+from docmill.functions.patterns import KEY_HEADERS, RECOMMENDATION_WORDS, VALUE_HEADERS
 from docmill.functions.rows import each
 from docmill.operators import blocks, documents, facts, keyvalues, quality, tables
 from docmill.queries import REGISTRY
@@ -42,7 +43,51 @@ TABLES = rf"""
       select *, row_number() over (partition by doc_id, table_index order by line_no) - 1 as row_no from cut
       where len(list_filter(cells, lambda x: not regexp_matches(x, '^[-: ]*$'))) > 0
     )"""
-IN_NUMBER = "[0-9A-Za-z./年月日-]"
+# A number that no letter, digit, dot, slash, hyphen or date sign stands beside; without look-around, by what may stand there.
+NUMERAL = r"[-+]?(?:[0-9]{1,3}(?:,[0-9]{3})+|[0-9]+)(?:\.[0-9]+)?%?"
+BESIDE = "[^0-9A-Za-z./年月日-]"
+HAS_NUMBER = f"(?:^|{BESIDE}){NUMERAL}(?:{BESIDE}|$)"
+
+
+def inline_sql(x: str) -> str:
+    """Entities decoded and white space collapsed, as inline_text does."""
+    for name, code in (("nbsp", 160), ("lt", 60), ("gt", 62), ("quot", 34), ("apos", 39), ("#39", 39), ("amp", 38)):
+        x = f"replace({x}, '&{name};', chr({code}))"
+    return f"trim(regexp_replace({x}, '{SPACE}+', ' ', 'g'), {WS})"
+
+
+def cell_number_sql(x: str) -> str:
+    """A cell as a number, as cell_number takes it."""
+    clean = f"trim(replace({x}, ',', ''), {WS})"
+    negative = f"(starts_with({clean}, '(') and ends_with({clean}, ')'))"
+    bare = f"case when {negative} then trim(substr({clean}, 2, length({clean}) - 2), {WS}) else {clean} end"
+    bare = f"trim(regexp_replace(regexp_replace({bare}, '^[￥¥$]', ''), '(?:人民币|元|万元|亿元|万|亿)$', ''), {WS})"
+    return f"""case when regexp_matches({x}, '[0-9]') and not contains({x}, '%') and regexp_matches({bare}, '^[-+]?[0-9]+(?:\\.[0-9]+)?$')
+      then case when {negative} then -cast({bare} as double) else cast({bare} as double) end end"""
+
+
+# Tables as tables() makes them: padded and filled cells, header levels, headers, and body cells with their row.
+TABLE_MODEL = rf"""
+    wide as (select doc_id, table_index, min(start_line) as start_line, max(len(cells)) as width, max(row_no) + 1 as n_rows from kept group by all),
+    grid as (
+      select k.doc_id, k.table_index, row_no, c as col, coalesce(cells[c + 1], '') as value
+      from kept k join wide w on k.doc_id = w.doc_id and k.table_index = w.table_index, unnest(generate_series(0, width - 1)) as t(c)
+    ), filled as (
+      select *, case when row_no = 0 then value else coalesce(last_value(nullif(value, '') ignore nulls) over (
+        partition by doc_id, table_index, col, row_no > 0 order by row_no rows between unbounded preceding and current row), '') end as full_value from grid
+    ), leveled as (
+      select doc_id, table_index, case when count_if(row_no = 2) > 0 and count_if(row_no = 1 and full_value <> '') > 0
+        and count_if(row_no = 1 and regexp_matches(full_value, '{HAS_NUMBER}')) = 0
+        and count_if(row_no >= 2 and regexp_matches(full_value, '{HAS_NUMBER}')) >= count(distinct case when row_no >= 2 then row_no end) then 2 else 1 end as header_levels
+      from filled group by all
+    ), tops as (
+      select doc_id, table_index, col, max(case when row_no = 0 then full_value end) as a, max(case when row_no = 1 then full_value end) as b from filled where row_no < 2 group by all
+    ), heads as (
+      select doc_id, table_index, col, header_levels, case when header_levels = 1 or coalesce(b, '') = '' or a = b then a when a = '' then b else a || ' / ' || b end as head
+      from tops join leveled using (doc_id, table_index)
+    ), body as (
+      select doc_id, table_index, row_no - header_levels as row_index, col as column_index, full_value as value from filled join leveled using (doc_id, table_index) where row_no >= header_levels
+    )"""
 
 
 def documents_of(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -105,38 +150,66 @@ def doc_table_filled(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tables.merged_cells(tables.tables(documents_of(spark, sf_dir)))
 
 
-@query("doc_tables")
+@query(
+    "doc_tables",
+    f"""
+    with {LINES}, {TABLES}, {TABLE_MODEL}, headed as (select doc_id, table_index, any_value(header_levels) as header_levels, string_agg(head, ' | ' order by col) as headers from heads group by all)
+    select i.doc_id, cast(i.table_index as integer) as table_index, cast(i.start_line as integer) as start_line, coalesce(headers, '') as headers,
+      cast(coalesce(n_rows - header_levels, 0) as integer) as row_count, cast(coalesce(width, 0) as integer) as column_count, coalesce(header_levels, 0) as header_levels
+    from indexed i left join wide w on i.doc_id = w.doc_id and i.table_index = w.table_index left join headed h on i.doc_id = h.doc_id and i.table_index = h.table_index
+    """,
+)
 def doc_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = tables.tables(documents_of(spark, sf_dir))
     return found.select("doc_id", "table_index", "start_line", F.array_join("headers", " | ").alias("headers"), "row_count", "column_count", "header_levels")
 
 
-@query("doc_total_checks")
+TOTALS = f"""
+    numbered as (select *, {cell_number_sql("value")} as number from body),
+    flags as (select doc_id, table_index, row_index, bool_or(contains(lower(value), '合计') or contains(lower(value), '总计') or contains(lower(value), '小计') or contains(lower(value), 'total')) as total from body group by all),
+    summed as (
+      select n.*, total, sum(case when not total then number end) over above as computed, count(case when not total then number end) over above as value_count
+      from numbered n join flags f on n.doc_id = f.doc_id and n.table_index = f.table_index and n.row_index = f.row_index
+      window above as (partition by n.doc_id, n.table_index, n.column_index order by n.row_index rows between unbounded preceding and 1 preceding)
+    ), outcomes as (
+      select *, case when value_count < 2 then 'uncompared' when abs(coalesce(computed, 0) - number) <= greatest(0.01, least(1.0, abs(number) * 0.000001)) then 'verified' else 'mismatch' end as outcome
+      from summed where total and number is not null
+    ), issues_of_totals as (
+      select doc_id, table_index, row_index, case when count_if(outcome = 'mismatch') > 0 then 'numeric_total_mismatch' when count_if(outcome = 'verified') > 0 then 'numeric_total_verified' else 'numeric_total_needs_review' end as code,
+        case when count_if(outcome = 'mismatch') = 0 and count_if(outcome = 'verified') > 0 then 'info' else 'warning' end as level
+      from outcomes group by all
+    )"""
+
+
+@query(
+    "doc_total_checks",
+    f"""
+    with {LINES}, {TABLES}, {TABLE_MODEL}, {TOTALS}
+    select doc_id, cast(table_index as integer) as table_index, cast(row_index as integer) as row_index, code, level from issues_of_totals
+    """,
+)
 def doc_total_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tables.total_issues(tables.total_checks(tables.tables(documents_of(spark, sf_dir))))
 
 
 @query(
-    "doc_numeric_facts",
+    "doc_numbers",
     rf"""
     with {LINES}, clean as (
-      select doc_id, line_no, trim(regexp_replace(replace(replace(replace(replace(replace(replace(replace(regexp_replace(line, '<[^>]+>', ' ', 'g'),
-        '&nbsp;', chr(160)), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&apos;', ''''), '&#39;', ''''), '&amp;', '&'), '{SPACE}+', ' ', 'g'), {WS}) as text
-      from lines where regexp_matches(line, '[0-9]')
-    ), spaced as (
-      -- what may not stand beside a number is marked, and every number set apart, so that no look-around is needed
-      select doc_id, line_no, text, regexp_extract_all(text, '[0-9A-Za-z./年月日-]*[-+]?[0-9][0-9,A-Za-z./年月日%+-]*') as spots from clean
+      select doc_id, line_no, {inline_sql("regexp_replace(line, '<[^>]+>', ' ', 'g')")} as text from lines where regexp_matches(line, '[0-9]')
+    ), spots as (
+      -- every place a number may begin at, with the number that begins there
+      select doc_id, line_no, text, i, regexp_extract(substr(text, i), '^({NUMERAL})(?:{BESIDE}|$)', 1) as token
+      from clean, unnest(range(1, length(text) + 1)) as t(i)
+      where regexp_matches(substr(text, i, 1), '[-+0-9]') and (i = 1 or regexp_matches(substr(text, i - 1, 1), '{BESIDE}'))
+    ), reached as (
+      select *, max(i + length(token)) over (partition by doc_id, line_no order by i rows between unbounded preceding and 1 preceding) as reach from spots where token <> ''
+    ), told as (
+      select doc_id, line_no, substr(any_value(text), 1, 300) as text, string_agg(token, ' ' order by i) as numbers from reached where reach is null or reach <= i group by all
     )
-    select doc_id, count(*) as lines_with_figures from spaced where len(spots) > 0 group by doc_id
+    select doc_id, cast(line_no as integer) as line_no, text, numbers from (select *, row_number() over (partition by doc_id order by line_no) as no from told) where no <= 500
     """,
 )
-def doc_numeric_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    flat = documents.lines(documents_of(spark, sf_dir)).where(F.col("line").rlike("[0-9]"))
-    clean = T.inline_text(F.regexp_replace("line", "<[^>]+>", " "))
-    return flat.where(clean.rlike("[0-9]")).groupBy("doc_id").agg(F.count("*").alias("lines_with_figures"))
-
-
-@query("doc_numbers")
 def doc_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = facts.numeric_facts(documents_of(spark, sf_dir))
     return found.select("doc_id", "line_no", "text", F.array_join("numbers", " ").alias("numbers"))
@@ -177,24 +250,102 @@ def doc_references(spark: SparkSession, sf_dir: str) -> DataFrame:
     return facts.references(documents_of(spark, sf_dir))
 
 
-@query("doc_key_values")
+def is_key_sql(x: str) -> str:
+    """Whether x may be a key, as is_key says."""
+    word = r"[\p{L}\p{M}\p{N}\p{Pc}]"
+    return f"(length({x}) between 1 and 60 and not regexp_matches({x}, '^{NUMERAL}$') and not starts_with({x}, 'http://') and not starts_with({x}, 'https://') and regexp_matches({x}, '{word}'))"
+
+
+# Key-values: of each line its text without list mark, its pair and whether a paragraph stops at it; then the three sources.
+KEY_VALUES = rf"""
+    marked as (
+      select doc_id, line_no, line, trim(trim(trim(regexp_replace(trim(line, {WS}), '^{SPACE}*(?:[-*•]|[0-9]+[.)、]|[（(]?[0-9]+[)）]){SPACE}*', ''), {WS}), '-*'), {WS}) as clean from lines
+    ), keyed as (
+      select *, strpos(clean, '：') as wide, strpos(clean, ':') as plain,
+        {inline_sql("substr(clean, 1, greatest(strpos(clean, '：') - 1, 0))")} as key_w, {inline_sql("substr(clean, strpos(clean, '：') + 1)")} as value_w,
+        {inline_sql("substr(clean, 1, greatest(strpos(clean, ':') - 1, 0))")} as key_p, {inline_sql("substr(clean, strpos(clean, ':') + 1)")} as value_p
+      from marked
+    ), tested as (
+      select *, wide > 0 and {is_key_sql('key_w')} as by_wide, plain > 0 and {is_key_sql('key_p')} as by_plain from keyed
+    ), parted as (
+      select doc_id, line_no, line, clean, by_wide or by_plain as paired, case when by_wide then key_w else key_p end as key, case when by_wide then value_w else value_p end as value,
+        starts_with(clean, '#') or regexp_matches(clean, '^{SPACE}*\|(.+)\|{SPACE}*$') or by_wide or by_plain as stops from tested
+    ), looked as (
+      select *, lead(clean, 1) over w as c1, lead(clean, 2) over w as c2, lead(clean, 3) over w as c3, lead(stops, 1) over w as s1, lead(stops, 2) over w as s2, lead(stops, 3) over w as s3
+      from parted window w as (partition by doc_id order by line_no)
+    ), ahead1 as (
+      select *, coalesce(c1 <> '' and s1, false) as d1, case when c1 is null or c1 = '' or s1 then '' else c1 end as t1 from looked
+    ), ahead2 as (
+      select *, d1 or coalesce(c2 = '' and t1 <> '' or c2 <> '' and s2, false) as d2 from ahead1
+    ), ahead3 as (
+      select *, case when d2 or c2 is null or c2 = '' then t1 when t1 = '' then c2 else t1 || ' ' || c2 end as t2 from ahead2
+    ), ahead4 as (
+      select *, case when d2 or coalesce(c3 = '' and t2 <> '' or c3 <> '' and s3, false) or c3 is null or c3 = '' then t2 when t2 = '' then c3 else t2 || ' ' || c3 end as t3 from ahead3
+    ), of_lines as (
+      select doc_id, 0 as source, 0 as tbl, line_no as spot, key, case when value = '' then {inline_sql("t3")} else value end as value from ahead4 where paired and length(clean) <= 220
+    ), two as (
+      select doc_id, table_index from heads join wide using (doc_id, table_index) where width = 2 group by all
+      having bool_or(lower(trim(head, {WS})) in {KEY_HEADERS + VALUE_HEADERS}) or count_if(trim(head, {WS}) <> '') = 2 and count_if(regexp_matches(head, '{HAS_NUMBER}')) = 0
+    ), of_tables as (
+      select doc_id, 1 as source, table_index as tbl, row_index as spot, max(value) filter (where column_index = 0) as key, max(value) filter (where column_index = 1) as value
+      from body join two using (doc_id, table_index) group by all having key <> '' and value <> ''
+    ), titled as (
+      select *, {inline_sql(f"regexp_extract(trim(line, {WS}), '^(#{{1,6}}){SPACE}+(.+?){SPACE}*$', 2)")} as title,
+        case when c1 <> '' then c1 when c2 <> '' then c2 when c3 <> '' then c3 end as first, case when c1 <> '' then s1 when c2 <> '' then s2 when c3 <> '' then s3 end as first_stops
+      from looked
+    ), of_headings as (
+      select doc_id, 2 as source, 0 as tbl, line_no as spot, title as key, first as value from titled where length(title) between 1 and 60 and not first_stops and length(first) <= 180
+    ), pairs as (
+      select doc_id, source, tbl, spot, {inline_sql("key")} as key, {inline_sql("value")} as value from (from of_lines union all from of_tables union all from of_headings)
+    ), firsts as (
+      select doc_id, key, value, min((source, tbl, spot)) as place from pairs where length(key) between 1 and 60 and length(value) between 1 and 500 group by all
+    ), kv as (
+      select * from (select doc_id, cast(row_number() over (partition by doc_id order by place, key, value) - 1 as integer) as kv_index, key, value from firsts) where kv_index < 250
+    )"""
+
+
+@query("doc_key_values", f"with {LINES}, {TABLES}, {TABLE_MODEL}, {KEY_VALUES} select doc_id, kv_index, key, value from kv")
 def doc_key_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     return keyvalues.key_values(documents_of(spark, sf_dir))
 
 
-@query("doc_key_value_map")
+@query(
+    "doc_key_value_map",
+    f"with {LINES}, {TABLES}, {TABLE_MODEL}, {KEY_VALUES} select doc_id, key, string_agg(value, ' | ' order by kv_index) as value_list from kv group by all",
+)
 def doc_key_value_map(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = keyvalues.key_value_map(keyvalues.key_values(documents_of(spark, sf_dir)))
     return found.select("doc_id", "key", F.array_join("value_list", " | ").alias("value_list"))
 
 
-@query("doc_recommendations")
+@query(
+    "doc_recommendations",
+    f"""
+    with {LINES}, {TABLES}, {TABLE_MODEL}, {KEY_VALUES}, named as (
+      select doc_id, 0 as rank, kv_index as spot, 'key_value' as source, key || ': ' || value as text from kv where regexp_matches(lower(key), '{"|".join(RECOMMENDATION_WORDS)}')
+    ), asking as (
+      select doc_id, 1 as rank, line_no as spot, 'line' as source, substr(trim(line, {WS}), 1, 300) as text from lines where regexp_matches(lower(line), '{"|".join(RECOMMENDATION_WORDS)}')
+    ), every as (from named union all select * from asking where (doc_id, text) not in (select (doc_id, text) from named))
+    select * from (select doc_id, cast(row_number() over (partition by doc_id order by rank, spot) as integer) as rec_no, source, text from every) where rec_no <= 50
+    """,
+)
 def doc_recommendations(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents_of(spark, sf_dir)
     return facts.recommendations(docs, keyvalues.key_values(docs))
 
 
-@query("doc_field_evidence")
+@query(
+    "doc_field_evidence",
+    f"""
+    with {LINES}, {TABLES}, {TABLE_MODEL}, {KEY_VALUES}, stood as (
+      select kv.doc_id, kv_index, min(line_no) as line_no from kv join lines l on kv.doc_id = l.doc_id and contains(line, key) and contains(line, value) group by all
+    )
+    select kv.doc_id, kv.kv_index, key, value, cast(s.line_no as integer) as line_no, cast(null as integer) as block_idx, cast(null as integer) as page_no,
+      case when s.line_no is not null then 'markdown_line' else 'unknown' end as level, cast(case when s.line_no is not null and length(value) >= 2 then 0.72 else 0.45 end as double) as confidence,
+      substr(coalesce({inline_sql("l.line")}, key || ': ' || value), 1, 300) as evidence_text
+    from kv left join stood s on kv.doc_id = s.doc_id and kv.kv_index = s.kv_index left join lines l on s.doc_id = l.doc_id and s.line_no = l.line_no
+    """,
+)
 def doc_field_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents_of(spark, sf_dir)
     return keyvalues.field_evidence(keyvalues.key_values(docs), docs)
@@ -262,7 +413,21 @@ def doc_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", "errors", "warnings", "issue_count", "score", "status")
 
 
-@query("doc_full_quality")
+@query(
+    "doc_full_quality",
+    f"""
+    with {LINES}, {TABLES}, {TABLE_MODEL}, {TOTALS}, {KEY_VALUES}, {RULES}, shaped as (
+      select doc_id, n >= 500 and doc_id not in (select doc_id from kv) and doc_id not in (select doc_id from found) and doc_id not in (
+        select doc_id from lines where regexp_matches(line, '^(#{{1,6}}){SPACE}+(.+?){SPACE}*$')) as weak from rules
+    ), of_totals as (select doc_id, count_if(level = 'warning') as warned, count_if(level = 'info') as told from issues_of_totals group by doc_id),
+    added as (
+      select c.doc_id, errors, warnings + cast(weak as integer) + coalesce(warned, 0) as warnings, coalesce(told, 0) as infos
+      from counted c join shaped s on c.doc_id = s.doc_id left join of_totals t on c.doc_id = t.doc_id
+    )
+    select doc_id, cast(errors as bigint) as errors, cast(warnings as bigint) as warnings, cast(infos as bigint) as infos, cast(greatest(0, 100 - 30 * errors - 8 * warnings) as bigint) as score,
+      case when errors > 0 then 'needs_review' when warnings > 0 then 'pass_with_warnings' else 'pass' end as status from added
+    """,
+)
 def doc_full_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All rules that a text, its structure and its totals can break."""
     docs = documents_of(spark, sf_dir)
@@ -341,7 +506,25 @@ def block_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return blocks.block_chunks(layout_blocks(spark, sf_dir)).drop("pages")
 
 
-@query("block_skips")
+@query(
+    "block_skips",
+    rf"""
+    with b as (select concat_ws('/', file_key, run_id) as doc_id, block_id, coalesce(type, 'unknown') as type, trim(coalesce(text, ''), {WS}) as body from complex_financial_report_content_list),
+    k as (
+      select *, type in {blocks.NOISE_TYPES} as noise, type not in {blocks.NOISE_TYPES} and (type in {blocks.HEADING_TYPES} or regexp_matches(body, '^#{{1,6}}{SPACE}+\S+') and not contains(body, chr(10))) as heading,
+        coalesce(nullif(trim(regexp_replace(regexp_replace(body, '^#{{1,6}}{SPACE}+', ''), '{SPACE}+', ' ', 'g'), {WS}), ''), 'document') as title,
+        case when type in {blocks.CONTENT_TYPES["text"]} then 'text' when type = 'table' then 'table' when type in {blocks.CONTENT_TYPES["figure"]} then 'figure'
+          when type in {blocks.CONTENT_TYPES["formula"]} then 'formula' else 'unsupported' end as content
+      from b
+    ), t as (
+      select *, regexp_matches(lower(coalesce(last_value(case when heading then title end ignore nulls) over (partition by doc_id order by block_id rows between unbounded preceding and current row), 'document')),
+        '^{SPACE}*(contents|table of contents|list of figures|list of tables|revision history|document history|change history){SPACE}*$') as low from k
+    ), r as (
+      select type, case when noise then 'noise' when heading then case when low then 'low_value_section' else 'heading' end when low then 'inside_low_value_section' when content = 'unsupported' then 'unsupported'
+        when body = '' then case content when 'text' then 'empty_text' when 'table' then 'empty_table' when 'figure' then 'weak_figure' else 'empty_formula' end end as reason from t
+    ) select type, reason, count(*) as n from r where reason is not null and reason <> 'heading' group by all
+    """,
+)
 def block_skips(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = blocks.classified_blocks(layout_blocks(spark, sf_dir)).where("reason is not null and reason <> 'heading'")
     return rows.groupBy("type", "reason").agg(F.count("*").alias("n"))

@@ -10,7 +10,8 @@ from docmill.functions.rows import each
 from docmill.operators import evaluation, facts, nested, search, tables
 from docmill.plans import profiles, reports, view
 from docmill.queries import REGISTRY
-from docmill.queries.core import SPACE, WS, documents_of
+from docmill.queries.core import LINES, SPACE, TABLE_MODEL, TABLES, WS, documents_of
+from docmill.queries.problems import CALL_ROWS, SCORE_ROWS, STEP_ROWS
 from docmill.session import table
 from docmill.sources import html
 
@@ -189,18 +190,39 @@ def chunk_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reports.chunk_validation(table(spark, sf_dir, "retrieval_chunks"), "file_key", "chunk_text", ("chunk_id", "page_no", "section_title"))
 
 
-@query("trace_status")
+@query(
+    "trace_status",
+    f"""
+    with s as (select record_id, count(*) as steps, count_if(status = 'failed') as failed, count_if(status = 'completed') as done from ({STEP_ROWS}) group by record_id)
+    select trace_id as record_id, coalesce(steps, 0) as steps, cast(coalesce(failed, 0) as bigint) as failed,
+      coalesce(nullif(status, ''), case when failed > 0 then 'failed_inferred' when steps > 0 and done = steps then 'completed_inferred' else 'unknown' end) as status
+    from trace left join s on trace_id = record_id
+    """,
+)
 def trace_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     trace = table(spark, sf_dir, "trace")
     return reports.run_status(trace, nested.trace_steps(trace), "trace_id", "status")
 
 
-@query("trace_tools")
+@query(
+    "trace_tools",
+    f"""
+    select tool, count(*) as calls, cast(count_if(status = 'failed') as bigint) as failed, round(sum(elapsed_seconds), 3) as total_seconds, round(max(elapsed_seconds), 3) as max_seconds
+    from ({CALL_ROWS}) group by tool
+    """,
+)
 def trace_tools(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reports.tool_report(nested.tool_calls(table(spark, sf_dir, "trace")))
 
 
-@query("report_score_deltas")
+@query(
+    "report_score_deltas",
+    f"""
+    with s as (select record_id || '#' || parent as pair, field, n from ({SCORE_ROWS}) where n is not null)
+    select a.pair, a.n as baseline_value, b.n as other_value, b.n - a.n as delta
+    from s a left join s b on a.pair = b.pair and b.field = 'llm.quality_score' where a.field = 'baseline.quality_score'
+    """,
+)
 def report_score_deltas(spark: SparkSession, sf_dir: str) -> DataFrame:
     scores = nested.report_scores(table(spark, sf_dir, "llm_impact_report")).select(F.concat_ws("#", "record_id", "parent").alias("pair"), "field", "n")
     return reports.pair_deltas(scores, "pair", "field", "baseline.quality_score", "llm.quality_score", "n")
@@ -229,7 +251,33 @@ def tasks_of(spark: SparkSession, sf_dir: str) -> DataFrame:
     return titles.select(F.md5("section_title").alias("task_id"), F.col("section_title").alias("task"))
 
 
-@query("profile_scores")
+PROFILE_ROWS = ", ".join(f"({i}, '{name}', '{' '.join((name, about, *words)).lower()}', {list(words)})" for i, (name, (about, words)) in enumerate(profiles.PROFILES.items()))
+
+
+def profile_tokens_sql(low: str) -> str:
+    """Words, ideographs and pairs of neighbouring ideographs of a lower-case text."""
+    chars = f"regexp_extract_all({low}, '[一-鿿]')"
+    return f"list_concat(list_concat(regexp_extract_all({low}, '[a-z0-9]+'), {chars}), list_transform(range(1, greatest(len({chars}), 1)), lambda i: {chars}[i] || {chars}[i + 1]))"
+
+
+@query(
+    "profile_scores",
+    f"""
+    with p as (select * from (values {PROFILE_ROWS}) as t(no, profile, about, words)),
+    t as (select distinct md5(section_title) as task_id, lower(section_title) as low from retrieval_chunks where section_title is not null),
+    tt as (select task_id, token, count(*) as n from (select task_id, unnest({profile_tokens_sql("low")}) as token from t) group by all),
+    pt as (select no, token, count(*) as m from (select no, unnest({profile_tokens_sql("about")}) as token from p) group by all),
+    dots as (select task_id, no, sum(n * m) as dot from tt join pt using (token) group by all),
+    tn as (select task_id, sqrt(sum(n * n)) as tn from tt group by all), pn as (select no, sqrt(sum(m * m)) as pn from pt group by all),
+    base as (select task_id, no, profile, len(list_filter(words, lambda w: contains(low, lower(w)))) as hits, len(words) as of from t, p),
+    scored as (
+      select task_id, profile, no, hits, coalesce(dot / (tn * pn), 0.0) as cosine, 0.68 * hits / greatest(of, 1) + 0.32 * coalesce(dot / (tn * pn), 0.0) as score
+      from base left join dots using (task_id, no) left join tn using (task_id) left join pn using (no)
+    )
+    select task_id, profile, cast(hits as integer) as hits, round(cosine, 4) as cosine, round(score, 4) as score,
+      cast(row_number() over (partition by task_id order by round(score, 9) desc, profile = 'general_document', no) as integer) as rank from scored
+    """,
+)
 def profile_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return profiles.profile_scores(tasks_of(spark, sf_dir))
 
@@ -313,12 +361,32 @@ def order_comparisons(spark: SparkSession, sf_dir: str) -> DataFrame:
     return profiles.comparisons(tables.tables(order_sheets(spark, sf_dir))).select("doc_id", "row_index", "current_value", "baseline_value", "delta")
 
 
-@query("doc_comparisons")
+COMPARED = rf"""
+    valued as (
+      select doc_id, table_index, row_index, column_index, value,
+        try_cast(replace(regexp_extract(value, '[-+]?(?:[0-9]{{1,3}}(?:,[0-9]{{3}})+|[0-9]+)(?:\.[0-9]+)?'), ',', '') as double) as number from body
+    ), sides as (
+      select doc_id, table_index, row_index, max(value) filter (where column_index = 0) as label, list(number order by column_index) filter (where column_index > 0 and number is not null) as numbers
+      from valued group by all having count(*) >= 3
+    ), compared as (
+      select doc_id, cast(table_index as integer) as table_index, cast(row_index as integer) as row_index, label, numbers[1] as current_value, numbers[2] as baseline_value,
+        round(numbers[1] - numbers[2], 4) as delta, case when numbers[2] <> 0 then round((numbers[1] - numbers[2]) / numbers[2] * 100, 4) end as percent_change
+      from sides where len(numbers) >= 2
+    ), firsts as (select * from (select *, row_number() over (partition by doc_id order by table_index, row_index) as no from compared) where no <= 100)"""
+
+
+@query("doc_comparisons", f"with {LINES}, {TABLES}, {TABLE_MODEL}, {COMPARED} select * exclude (no) from firsts")
 def doc_comparisons(spark: SparkSession, sf_dir: str) -> DataFrame:
     return profiles.comparisons(tables.tables(documents_of(spark, sf_dir)))
 
 
-@query("doc_top_growth")
+@query(
+    "doc_top_growth",
+    f"""
+    with {LINES}, {TABLES}, {TABLE_MODEL}, {COMPARED}
+    select doc_id, label, percent_change from (select *, row_number() over (partition by doc_id order by percent_change desc, table_index, row_index) as best from firsts where percent_change is not null) where best = 1
+    """,
+)
 def doc_top_growth(spark: SparkSession, sf_dir: str) -> DataFrame:
     return profiles.top_growth(profiles.comparisons(tables.tables(documents_of(spark, sf_dir))))
 

@@ -20,6 +20,7 @@ HTML_TABLE = r"(?is)<table\b.*?</table>"
 RECOMMENDATION_WORDS = ("建议", "处理建议", "整改", "措施", "action", "recommend")
 ANOMALY_WORDS = ("异常", "风险", "问题", "复核", "告警", "缺陷", "error", "warning", "risk", "issue")
 TOTAL_WORDS = ("合计", "总计", "小计", "total", "subtotal")
+ENTITY_WORDS = ("公司", "甲方", "乙方", "party", "company", "issuer")
 KEY_HEADERS = ("key", "field", "name", "字段", "项目", "科目", "条款", "指标")
 VALUE_HEADERS = ("value", "amount", "status", "description", "值", "数值", "金额", "状态", "说明", "内容")
 

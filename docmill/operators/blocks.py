@@ -111,6 +111,54 @@ def split_long_text(text: Column, most: int = MOST_TOKENS) -> Column:
     return F.filter(pieces, lambda p: T.strip(p) != "")
 
 
+def table_told(html: Column, caption: Column, footnote: Column) -> Column:
+    """A table block as text: its caption, its first row as columns, its other rows, its footnote. Rows and cells are those
+    of the HTML; a text without any is given as it is. Captions and footnotes are lists of texts, joined by spaces."""
+    joined = lambda texts: T.strip(F.array_join(F.filter(F.coalesce(texts, F.array().cast("array<string>")), lambda x: x.isNotNull()), " "))
+    every = lambda text, tag: F.regexp_extract_all(text, F.lit(rf"(?is)<{tag}[^>]*>(.*?)</{tag}>"), F.lit(1))
+    cells = F.transform(every(html, "tr"), lambda row: F.transform(every(row, "t[dh]"), lambda c: T.clean_chunk_text(F.regexp_replace(c, "<[^>]+>", ""))))
+    rows = F.filter(cells, lambda row: F.exists(row, lambda c: c != ""))
+    named = F.transform(rows, lambda row, i: F.concat(F.when(i == 0, F.lit("Columns: ")).otherwise(F.concat(F.lit("Row "), i.cast("string"), F.lit(": "))), F.array_join(row, " | ")))
+    body = T.bind(named, lambda n: F.when(F.size(n) > 0, n).otherwise(F.array(T.strip(html))))
+    parts = F.concat(F.array(F.concat(F.lit("Table: "), F.nullif(joined(caption), F.lit("")))), body, F.array(F.concat(F.lit("Note: "), F.nullif(joined(footnote), F.lit("")))))
+    return F.array_join(F.filter(parts, lambda x: x.isNotNull() & (x != "")), "\n")
+
+
+def figure_told(text: Column, caption: Column, image: Column) -> Column:
+    """A figure block as text: its own, or its caption, or that there is an image; empty without any of them."""
+    named = T.strip(F.array_join(F.filter(F.coalesce(caption, F.array().cast("array<string>")), lambda x: x.isNotNull()), " "))
+    return F.coalesce(F.nullif(text, F.lit("")), F.nullif(named, F.lit("")), F.when(F.coalesce(image, F.lit("")) != "", "Figure image"), F.lit(""))
+
+
+def told_blocks(blocks: DataFrame) -> DataFrame:
+    """blocks (doc_id, block_ord, type, text, page_idx, table_caption, table_footnote, img_path) with the text of tables
+    and figures as table_told and figure_told give it; other blocks stay."""
+    text = T.strip(F.coalesce("text", F.lit("")))
+    kind = _content_type(F.coalesce("type", F.lit("unknown")))
+    told = F.when(kind == "table", table_told(text, F.col("table_caption"), F.col("table_footnote"))).when(kind == "figure", figure_told(text, F.col("table_caption"), F.col("img_path"))).otherwise(F.col("text"))
+    return blocks.withColumn("text", told)
+
+
+def chunks_of(blocks: DataFrame, df: DataFrame, key: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Chunks of documents: from their blocks where they have any, else from their texts; the columns of text_chunks."""
+    columns = ["doc_id", "seq", "chunk_id", "page_no", "content_type", "section_title", "chunk_text"]
+    bare = df.select(F.col(key).alias("doc_id"), F.col(text_col).alias("text")).join(blocks.select("doc_id").distinct(), "doc_id", "left_anti")
+    return block_chunks(blocks).select(columns).unionByName(text_chunks(bare).select(columns))
+
+
+def section_pages(df: DataFrame, blocks: DataFrame, key: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, section_no, page_no): the page of the first block with a page that holds a section's title or the first 80
+    characters of its text; null where none does.
+
+    Sections and blocks meet by document, by an equi-join; blocks carry their text, sections their two snippets.
+    """
+    own = sections(df, key, text_col).select("doc_id", "section_no", T.inline_text(F.col("title")).alias("title"), F.substring(T.inline_text(F.col("text")), 1, 80).alias("lead"))
+    paged = blocks.where("page_idx is not null").select("doc_id", "block_ord", "page_idx", T.inline_text(F.coalesce("text", F.lit(""))).alias("body"))
+    fits = lambda c: ~F.col(c).isin("", "document") & F.col("body").contains(F.col(c))
+    found = own.join(paged, "doc_id").where(fits("title") | fits("lead")).groupBy("doc_id", "section_no").agg((F.min_by("page_idx", "block_ord") + 1).alias("page_no"))
+    return own.select("doc_id", "section_no").join(found, ["doc_id", "section_no"], "left")
+
+
 def _content_type(kind: Column) -> Column:
     out = F.lit("unsupported")
     for name, kinds in CONTENT_TYPES.items():

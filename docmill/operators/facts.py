@@ -50,6 +50,18 @@ def signal_lines(df: DataFrame, key: str = "doc_id", text_col: str = "text", wor
     return hits.select("doc_id", "line_no", (F.col("full") if longest is None else F.substring("full", 1, longest)).alias("text"))
 
 
+def field_coverage(df: DataFrame, key: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, has_date, has_recommendation, has_anomaly_signal) of every row: whether the text holds a date, and one of
+    the words that recommendations and anomaly lines are known by. One projection, no shuffle; null and empty texts hold
+    nothing."""
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    low = F.lower(text)
+    return df.select(
+        F.col(key).alias("doc_id"), text.rlike(DATE).alias("has_date"), holds_any(low, RECOMMENDATION_WORDS).alias("has_recommendation"),
+        holds_any(low, ANOMALY_WORDS).alias("has_anomaly_signal"),
+    )
+
+
 def recommendations(df: DataFrame, key_values: DataFrame, key: str = "doc_id", text_col: str = "text", most: int | None = MOST_SIGNALS) -> DataFrame:
     """(doc_id, rec_no, source, text): key-values whose key asks for action, then lines that do and aren't one of them."""
     named = key_values.where(holds_any(F.lower("key"), RECOMMENDATION_WORDS))

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from docmill.functions import text as T
-from docmill.functions.patterns import HEADING, KEY_HEADERS, LIST_PREFIX, NUMBER, TABLE_ROW, VALUE_HEADERS
+from docmill.functions.patterns import ENTITY_WORDS, HEADING, KEY_HEADERS, LIST_PREFIX, NUMBER, TABLE_ROW, VALUE_HEADERS
 from docmill.functions.rows import each, each_struct
 from docmill.operators.documents import with_lines
 from docmill.operators.tables import tables
@@ -133,6 +133,25 @@ def key_value_map(kv: DataFrame) -> DataFrame:
     return kv.groupBy("doc_id", "key").agg(F.array_distinct(rows).alias("value_list"))
 
 
+def entity_candidates(kv: DataFrame, most: int | None = 50) -> DataFrame:
+    """(doc_id, kv_index, key, value): key-values whose key names a party or a company, the first `most` of a document."""
+    low = F.lower("key")
+    named = kv.where(F.greatest(*[low.contains(w) for w in ENTITY_WORDS])).select("doc_id", "kv_index", "key", "value")
+    if most is None:
+        return named
+    no = F.row_number().over(Window.partitionBy("doc_id").orderBy("kv_index"))
+    return named.withColumn("no", no).where(F.col("no") <= most).drop("no")
+
+
+def evidence_map(evidence: DataFrame) -> DataFrame:
+    """(doc_id, key, evidence ARRAY<STRUCT<value, confidence, level, line_no, page_no, evidence_text>>): what each key stands
+    on, in the order the key-values were found; empty keys have none. Key-values are limited for a document, and so are
+    the arrays."""
+    row = F.struct("kv_index", "value", "confidence", "level", "line_no", "page_no", "evidence_text")
+    rows = evidence.where("key <> ''").groupBy("doc_id", "key").agg(F.array_sort(F.collect_list(row)).alias("rows"))
+    return rows.select("doc_id", "key", F.transform("rows", lambda r: r.dropFields("kv_index")).alias("evidence"))
+
+
 def field_evidence(kv: DataFrame, df: DataFrame, blocks: DataFrame | None = None, key: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, kv_index, key, value, line_no, block_idx, page_no, level, confidence, evidence_text) of every key-value.
 

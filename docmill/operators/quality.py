@@ -18,15 +18,21 @@ def issue(code: str, level: Column | str, when: Column) -> Column:
     return F.when(when, F.struct(F.lit(code).alias("code"), level.alias("level")))
 
 
-def text_rules(text: Column) -> list[Column]:
-    """Issues that a text shows by itself: empty, garbled, short."""
+def text_rules(text: Column, native: Column | None = None, general: Column | None = None) -> list[Column]:
+    """Issues that a text shows by itself: empty, garbled, short.
+
+    native says whether the document came as text rather than as pages: it is short only below 80 characters, and never
+    under the general profile. Null counts as no.
+    """
+    yes = lambda c: F.lit(False) if c is None else F.coalesce(c, F.lit(False))
+    exempt = yes(native) & (yes(general) | (F.length(T.strip(text)) >= 80))
     blank = T.strip(text) == ""
     garbled = F.regexp_count(text, F.lit(GARBLED))
     level = F.when(garbled / F.greatest(F.length(text), F.lit(1)) > 0.02, "error").otherwise("warning")
     return [
         issue("empty_markdown", "error", blank),
         issue("possible_mojibake", level, ~blank & (garbled > 0)),
-        issue("short_text", "warning", ~blank & (F.length(text) < 200)),
+        issue("short_text", "warning", ~blank & (F.length(text) < 200) & ~exempt),
     ]
 
 

@@ -169,3 +169,41 @@ def group_summary(cases: DataFrame, score: str, seconds: str) -> DataFrame:
     return cases.groupBy("group").agg(
         F.count("*").alias("n"), F.round(F.avg(score), 2).alias("avg_score"), F.round(F.coalesce(F.sum(seconds), F.lit(0.0)), 3).alias("total_seconds"), F.round(F.avg(seconds), 3).alias("avg_seconds")
     )
+
+
+#: Fields that a chunk must have, and the kinds some of them must be of.
+CHUNK_FIELDS = ("chunk_id", "page_no", "pages", "content_type", "section_title", "chunk_text", "image_path")
+
+
+def chunk_errors(rows: DataFrame, key: str, json_col: str) -> DataFrame:
+    """(key, error): what is wrong with a chunk kept as JSON: it is no object, lacks a field, or `pages` is no list,
+    `page_no` no whole number or `chunk_text` no text. A field that is null is there, but of no kind."""
+    value = rows.select(key, F.try_parse_json(json_col).alias("v"))
+    kind = lambda path: F.schema_of_variant(F.try_variant_get("v", path, "variant"))
+    fields = value.select(key, F.try_variant_get("v", "$", "map<string,variant>").alias("fields"), kind("$.pages").alias("pages"), kind("$.page_no").alias("page_no"), kind("$.chunk_text").alias("chunk_text"))
+    has = lambda name: F.coalesce(F.array_contains(F.map_keys("fields"), name), F.lit(False))
+    wrong = lambda name, ok, error: F.when(has(name) & ~F.coalesce(ok, F.lit(False)), error)
+    checks = [F.when(~has(name), f"missing:{name}") for name in CHUNK_FIELDS] + [
+        wrong("pages", F.col("pages").startswith("ARRAY"), "pages_not_list"),
+        wrong("page_no", F.col("page_no") == "BIGINT", "page_no_not_int"),
+        wrong("chunk_text", F.col("chunk_text") == "STRING", "chunk_text_not_string"),
+    ]
+    found = F.when(F.col("fields").isNull(), F.array(F.lit("chunk is not an object"))).otherwise(F.filter(F.array(*checks), lambda x: x.isNotNull()))
+    return each(fields, [key], found, "at", "error").drop("at")
+
+
+def check_summary(checks: DataFrame) -> DataFrame:
+    """(kind, expected, matched, failed, rate) of checks (kind, expected BOOLEAN, passed BOOLEAN), and a row `*` over all:
+    how many of the expected ones passed. Checks that aren't expected count for nothing; a kind with none has rate 1."""
+    counts = checks.rollup("kind").agg(F.count_if("expected").alias("expected"), F.count_if(F.col("expected") & F.col("passed")).alias("matched"), F.grouping("kind").alias("whole"))
+    rate = F.round(T.ratio(F.col("matched"), F.col("expected"), 1.0), 6)
+    return counts.select(F.when(F.col("whole") == 1, "*").otherwise(F.col("kind")).alias("kind"), "expected", "matched", (F.col("expected") - F.col("matched")).alias("failed"), rate.alias("rate"))
+
+
+def matched_runs(rows: DataFrame, runs: DataFrame, key: str, first: str, second: str, run_key: str) -> DataFrame:
+    """(key, run_key, matched_by): the run of each row: the least one with the same `first` value, or else with the same
+    `second`; matched_by names which, null for neither. Runs are reduced to one per value before they are joined."""
+    least = lambda by: runs.where(F.col(by).isNotNull()).groupBy(by).agg(F.min(run_key).alias(f"by_{by}"))
+    joined = rows.select(key, first, second).join(least(first), first, "left").join(least(second), second, "left")
+    by = F.when(F.col(f"by_{first}").isNotNull(), first).when(F.col(f"by_{second}").isNotNull(), second)
+    return joined.select(key, F.coalesce(f"by_{first}", f"by_{second}").alias(run_key), by.alias("matched_by"))

@@ -4,4 +4,4 @@ from docmill.registry import Registry
 
 REGISTRY = Registry()
 
-from docmill.queries import core, problems, reports  # noqa: E402, F401
+from docmill.queries import core, problems, reports, coverage  # noqa: E402, F401

@@ -33,7 +33,7 @@ query = REGISTRY.query
 def chunk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "retrieval_chunks")
     asked = rows.where("row_id % 100 = 0").select(F.col("row_id").alias("query_id"), F.col("file_key").alias("scope"), F.col("section_title").alias("query"))
-    return search.lexical_top_k(asked, rows.select(F.col("file_key").alias("scope"), F.col("row_id").alias("chunk_ord"), F.col("chunk_text").alias("text")))
+    return search.lexical_top_k(asked, rows.select(F.col("file_key").alias("scope"), F.col("row_id").alias("chunk_ord"), F.col("chunk_text").alias("text"))).drop("holds_query")
 
 
 @query(
@@ -50,19 +50,6 @@ def embedding_cosine(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.nearest_vectors(rows.where("vec_id % 100 = 0").withColumnRenamed("vec_id", "query_id"), rows)
 
 
-@query(
-    "keyword_hits",
-    """
-    with hits as (select doc_id, 'document' as kind, doc_id as ord, text from documents where contains(lower(text), 'audit')),
-    ranked as (select *, row_number() over (partition by doc_id order by ord) as hit_no from hits)
-    select doc_id, cast(hit_no as integer) as hit_no, kind, ord, text from ranked where hit_no <= 5
-    """,
-)
-def keyword_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = documents_of(spark, sf_dir)
-    return search.keyword_search(docs.select("doc_id", F.lit(0).alias("kind_rank"), F.lit("document").alias("kind"), F.col("doc_id").alias("ord"), "text"), "audit")
-
-
 @query(
     "event_load_report",
     """

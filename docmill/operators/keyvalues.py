@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
 
 from docmill.functions import text as T
 from docmill.functions.patterns import ENTITY_WORDS, HEADING, KEY_HEADERS, LIST_PREFIX, NUMBER, TABLE_ROW, VALUE_HEADERS
@@ -66,23 +65,24 @@ def _following_lines(parts: Column, i: Column) -> Column:
     return T.inline_text(F.aggregate(_ahead(parts, i), start, add, lambda s: s["text"]))
 
 
-def line_pairs(df: DataFrame, key: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, at, key, value): a row per line that reads key: value; an empty value is taken from the lines after it."""
+def _line_rows() -> Column:
+    """(at, key, value) of each of parts that reads key: value; an empty value is taken from the lines after it."""
     every = F.transform("parts", lambda p, i: F.struct(i.alias("at"), p["pair"].alias("pair"), F.length(p["clean"]).alias("size")))
     held = F.filter(every, lambda e: e["pair"].isNotNull() & (e["size"] <= LONGEST_LINE))
-    full = F.transform(
+    return F.transform(
         held,
         lambda e: F.struct(
             e["at"].alias("at"), e["pair"]["key"].alias("key"),
             F.when(e["pair"]["value"] == "", _following_lines(F.col("parts"), e["at"])).otherwise(e["pair"]["value"]).alias("value"),
         ),
     )
-    return each_struct(_prepared(df, key, text_col), ["doc_id"], full, "at")
 
 
-def heading_pairs(df: DataFrame, key: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, at, key, value): a heading and the first line that isn't empty among the three after it."""
-    titles = F.transform("lines", lambda x, i: F.struct(i.alias("at"), T.inline_text(F.regexp_extract(T.strip(x), HEADING, 2)).alias("key")))
+def _heading_rows() -> Column:
+    """(at, key, value) of each heading among lines and the first line that isn't empty among the three after it; value is
+    null where that is none to take."""
+    title = lambda x: F.when(x.contains("#"), T.inline_text(F.regexp_extract(T.strip(x), HEADING, 2)))
+    titles = F.transform("lines", lambda x, i: F.struct(i.alias("at"), title(x).alias("key")))
     held = F.filter(titles, lambda t: F.length(t["key"]).between(1, LONGEST_KEY))
 
     def first(t: Column) -> Column:
@@ -90,8 +90,17 @@ def heading_pairs(df: DataFrame, key: str = "doc_id", text_col: str = "text") ->
         ok = ~after["stops"] & (F.length(after["clean"]) <= LONGEST_PARAGRAPH)
         return F.struct(t["at"].alias("at"), t["key"].alias("key"), F.when(ok, after["clean"]).alias("value"))
 
-    flat = each_struct(_prepared(df, key, text_col), ["doc_id"], F.transform(held, first), "at")
-    return flat.where("value is not null")
+    return F.transform(held, first)
+
+
+def line_pairs(df: DataFrame, key: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, at, key, value): a row per line that reads key: value; an empty value is taken from the lines after it."""
+    return each_struct(_prepared(df, key, text_col), ["doc_id"], _line_rows(), "at")
+
+
+def heading_pairs(df: DataFrame, key: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, at, key, value): a heading and the first line that isn't empty among the three after it."""
+    return each_struct(_prepared(df, key, text_col), ["doc_id"], _heading_rows(), "at").where("value is not null")
 
 
 def table_pairs(found: DataFrame) -> DataFrame:
@@ -107,18 +116,15 @@ def table_pairs(found: DataFrame) -> DataFrame:
     return pairs.where("key <> '' and value <> ''")
 
 
-def _place(source: int, pairs: DataFrame) -> Column:
-    """(source, table, row): where a pair of pairs was found, to be sorted by; table is 0 outside tables."""
-    table, row = ("at.table_index", "at.row") if isinstance(pairs.schema["at"].dataType, StructType) else (F.lit(0), "at")
-    return F.struct(F.lit(source).alias("source"), (F.col(table) if isinstance(table, str) else table).alias("table"), F.col(row).alias("row"))
-
-
 def key_values(df: DataFrame, key: str = "doc_id", text_col: str = "text", most: int | None = MOST) -> DataFrame:
     """(doc_id, kv_index, key, value): distinct key-values in order, those of lines first, then of tables, then of
     headings; the first `most` of each document. Null and blank texts have none."""
-    sources = (line_pairs(df, key, text_col), table_pairs(tables(df, key, text_col)), heading_pairs(df, key, text_col))
-    ranked = [s.select("doc_id", _place(i, s).alias("place"), T.inline_text(F.col("key")).alias("key"), T.inline_text(F.col("value")).alias("value")) for i, s in enumerate(sources)]
-    both = ranked[0].unionByName(ranked[1]).unionByName(ranked[2])
+    # one reading of the lines gives the pairs of lines and of headings
+    placed = lambda rows, source: F.transform(rows, lambda r: F.struct(F.struct(F.lit(source).alias("source"), F.lit(0).alias("table"), r["at"].alias("row")).alias("place"), r["key"].alias("key"), r["value"].alias("value")))
+    own = each_struct(_prepared(df, key, text_col), ["doc_id"], F.concat(placed(_line_rows(), 0), placed(_heading_rows(), 2)), "place")
+    at = F.struct(F.lit(1).alias("source"), F.col("at.table_index").alias("table"), F.col("at.row").alias("row"))
+    both = own.unionByName(table_pairs(tables(df, key, text_col)).select("doc_id", at.alias("place"), "key", "value"))
+    both = both.select("doc_id", "place", T.inline_text(F.col("key")).alias("key"), T.inline_text(F.col("value")).alias("value"))
     fit = both.where(F.length("key").between(1, LONGEST_KEY) & F.length("value").between(1, LONGEST_VALUE))
     first = fit.groupBy("doc_id", "key", "value").agg(F.min("place").alias("place"))
     rows = F.array_sort(F.collect_list(F.struct("place", "key", "value")))

@@ -21,7 +21,7 @@ def unhandled_codes(rows: DataFrame, by: str, codes: str, handled: Column) -> Da
 def merged_steps(base: Column, more: Column, prefix: str) -> Column:
     """base, then each step of more that is not blank and not in base as it stands, with a prefix; null lists are empty."""
     none = F.array().cast("array<string>")
-    base, more = F.coalesce(base, none), F.transform(F.coalesce(more, none), F.trim)
+    base, more = F.coalesce(base, none), F.transform(F.coalesce(more, none), lambda s: F.trim(s))
     fresh = F.filter(more, lambda s: s.isNotNull() & (s != "") & ~F.coalesce(F.array_contains(base, s), F.lit(False)))
     return F.concat(base, F.transform(fresh, lambda s: F.concat(F.lit(prefix), s)))
 

@@ -20,6 +20,13 @@ def islands(flags: Column) -> Column:
     return F.zip_with(starts, ends, lambda a, b: F.struct(a.alias("first"), (b - a + 1).alias("n")))
 
 
+def table_count(lines: Column) -> Column:
+    """How many tables a document's lines hold, counted inside the row."""
+    flags = F.transform(lines, lambda x: x.contains("|") & x.rlike(TABLE_ROW))
+    counted = T.bind(flags, lambda f: F.size(F.filter(islands(f), lambda r: r["n"] >= 2)))
+    return F.when(F.exists(lines, lambda x: x.contains("|")), counted).otherwise(0)
+
+
 def cells_of(line: Column) -> Column:
     """Cells of a table row; a bar always parts cells, even an escaped one."""
     return F.transform(F.split(F.btrim(T.strip(line), F.lit("|")), r"\|"), T.strip)

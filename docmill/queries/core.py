@@ -431,16 +431,15 @@ def doc_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 def doc_full_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All rules that a text, its structure and its totals can break."""
     docs = documents_of(spark, sf_dir)
-    n = lambda rows, name: rows.groupBy("doc_id").agg(F.count("*").alias(name))
-    found = tables.tables(docs)
     text = F.coalesce("text", F.lit(""))
-    counts = docs.select("doc_id", F.length(text).alias("chars"))  # the joins below carry no texts
-    for rows, name in ((documents.sections(docs).where("source = 'heading'"), "headings"), (keyvalues.key_values(docs), "pairs"), (found, "found")):
-        counts = counts.join(n(rows, name), "doc_id", "left")
-    counts = counts.na.fill(0, ["headings", "pairs", "found"])
+    # lines are read once for what is counted inside the row; only key-values are rows of their own
+    rows = documents.with_lines(docs)
+    counts = rows.select("doc_id", F.length("text").alias("chars"), F.size(documents.heading_marks(F.col("lines"))).alias("headings"), tables.table_count(F.col("lines")).alias("found"))
+    pairs = keyvalues.key_values(docs).groupBy("doc_id").agg(F.count("*").alias("pairs"))
+    counts = counts.join(pairs, "doc_id", "left").na.fill(0, ["pairs"])
     structure = quality.structure_rules(F.col("chars"), F.col("headings"), F.col("pairs"), F.col("found"))
     own = quality.issues(docs.select("doc_id", text.alias("text")), *quality.text_rules(F.col("text"))).unionByName(quality.issues(counts, *structure))
-    totals = tables.total_issues(tables.total_checks(found)).select("doc_id", "code", "level")
+    totals = tables.total_issues(tables.total_checks(tables.tables(docs))).select("doc_id", "code", "level")
     return quality.score(own.unionByName(totals), docs).select("doc_id", "errors", "warnings", "infos", "score", "status")
 
 

@@ -162,10 +162,25 @@ def _agreement(a: Column, b: Column) -> Column:
     return F.lit(REGISTERS) - sum(parts[1:], parts[0])
 
 
-def candidates(reps: DataFrame, threshold: float) -> DataFrame:
-    """(a, b), a < b: representatives that share a band and whose sketches don't rule the threshold out."""
-    banded = reps.select(F.explode("bands").alias("band"), F.col("id").alias("a"))
-    other = reps.select(F.explode("bands").alias("band"), F.col("id").alias("b"))
+#: Bytes of band keys in a partition, and of band keys for each byte of stored text, by which partitions are counted.
+PARTITION_BYTES, BAND_SHARE = 16 << 20, 4
+#: From here on a stated size means that none is known.
+UNKNOWN = 1 << 60
+
+
+def band_partitions(df: DataFrame) -> int:
+    """Partitions for the band keys of df: as many as keep each at PARTITION_BYTES by the size the scan states, so that no
+    task grows with the input; the session's shuffle partitions at least, and where no size is known."""
+    stated = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return least if stated >= UNKNOWN else max(least, -(-stated * BAND_SHARE // PARTITION_BYTES))
+
+
+def candidates(reps: DataFrame, threshold: float, partitions: int) -> DataFrame:
+    """(a, b), a < b: representatives that share a band and whose sketches don't rule the threshold out. Band keys, the
+    most of what is shuffled, go to the given number of partitions."""
+    bands = reps.select(F.explode("bands").alias("band"), "id").repartition(partitions, "band")
+    banded, other = bands.withColumnRenamed("id", "a"), bands.withColumnRenamed("id", "b")
     met = banded.join(other, "band").where("a < b").select("a", "b").distinct()
     left = reps.select(F.col("id").alias("a"), F.col("sketch").alias("sketch_a"))
     right = reps.select(F.col("id").alias("b"), F.col("sketch").alias("sketch_b"))
@@ -210,7 +225,7 @@ class NearDuplicates:
         prints = fingerprints(df, key, title_col, text_col, shingle, least_words)
         of_first = F.min_by(F.struct("id", "bands", "sketch"), "id").alias("p")
         reps = prints.groupBy("content").agg(of_first).select("p.*")
-        self.links = verified(candidates(reps, threshold), df, key, title_col, text_col, shingle, threshold)
+        self.links = verified(candidates(reps, threshold, band_partitions(df)), df, key, title_col, text_col, shingle, threshold)
 
     def pairs(self) -> DataFrame:
         """(id_a, id_b, similarity): every two rows at or above the threshold, copies included."""

@@ -69,3 +69,10 @@ def test_signatures_estimate_weighted_jaccard():
     assert abs(float((got[0] == got[1]).mean()) - expected) < 0.04
     plain = nd.prob_minhash(owner, np.concatenate([items[x], items[y]]), 2, 4096)
     assert abs(float((plain[0] == plain[1]).mean()) - 0.5) < 0.04
+
+
+def test_band_partitions_follow_the_stated_size(spark):
+    least = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert nd.band_partitions(spark.createDataFrame([], "a string")) == least
+    assert nd.band_partitions(spark.range(1 << 30)) == (8 << 30) * nd.BAND_SHARE // nd.PARTITION_BYTES
+    assert nd.band_partitions(spark.createDataFrame(spark.sparkContext.emptyRDD(), "a string")) >= least

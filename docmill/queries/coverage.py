@@ -365,3 +365,20 @@ def order_equations(spark: SparkSession, sf_dir: str) -> DataFrame:
     a, b = F.col("o_custkey") % 90 + 10, F.col("o_orderkey") % 80 + 10
     text = F.concat(F.lit("Total: "), a.cast("string"), F.lit(" + "), b.cast("string"), F.lit(" = "), (a + b + F.col("o_orderkey") % 2).cast("string"), F.lit(" as figures match"))
     return evaluation.equations(rows.select(F.col("o_orderkey").alias("doc_id"), text.alias("text")), "doc_id", "text")
+
+
+@query(
+    "order_numeric_evidence",
+    """
+    with s as (select o_orderkey as doc_id, o_custkey % 900 + 100 as a, o_orderkey % 90 + 10 as b from orders)
+    select doc_id, 0 as check_no, true as matched, 3 as line_no from s union all select doc_id, 1, false, null from s union all select doc_id, 2, true, 2 from s
+    """,
+)
+def order_numeric_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Numbers looked for in a sheet made for each order: both in one line, two of different lines, and one with no text."""
+    rows = table(spark, sf_dir, "orders")
+    a, b = (F.col("o_custkey") % 900 + 100).cast("string"), (F.col("o_orderkey") % 90 + 10).cast("string")
+    docs = rows.select(F.col("o_orderkey").alias("doc_id"), F.concat(F.lit("Order\nqty 7 is open\nThe Sum of "), a, F.lit(" and "), b, F.lit(" holds")).alias("text"))
+    check = lambda no, text, *numbers: F.struct(F.lit(no).alias("check_no"), F.lit(text).cast("string").alias("text_contains"), F.array(*numbers).alias("numbers"))
+    wanted = F.inline(F.array(check(0, "sum OF", a, b), check(1, "sum of", a, F.lit("7")), check(2, None, F.lit("7"))))
+    return evaluation.numeric_evidence(rows.select(F.col("o_orderkey").alias("doc_id"), wanted), facts.numeric_facts(docs))
